@@ -67,7 +67,16 @@ _SUPPRESSIONS = """
               ELSE {expiry} END AS expires_at
   FROM {{events}}"""
 
+_KDOCS = """
+  SELECT doc_id, CASE WHEN lang = 'es' THEN 'knowledge' ELSE 'ast' END AS collection, text AS content,
+         CASE lang WHEN 'en' THEN 'security_evidence' WHEN 'fr' THEN 'function_structure'
+                   WHEN 'de' THEN 'module_structure' ELSE 'security_knowledge' END AS document_type,
+         source AS title,
+         CASE WHEN n_chars > 3000 THEN concat('CWE-', CAST(n_chars % 100 AS VARCHAR(20))) END AS cwe_id
+  FROM {documents}"""
+
 _VIEWS = {
+    "kdocs": (("documents",), _KDOCS, _KDOCS),
     "analyses": (("orders", "customer", "nation", "region"), _ANALYSES, _ANALYSES),
     "findings": (("lineitem", "part"), _FINDINGS, _FINDINGS),
     "suppressions": (
@@ -95,6 +104,13 @@ def suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, "suppressions")
 
 
+def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval documents with an open metadata map."""
+    meta = F.create_map(
+        F.lit("document_type"), "document_type", F.lit("title"), "title", F.lit("cwe_id"), "cwe_id")
+    return _view(spark, sf_dir, "kdocs").withColumn("metadata", meta)
+
+
 def sql_views(*names: str) -> str:
     """``WITH`` clause defining the named views for the SQL side."""
     if not names:
