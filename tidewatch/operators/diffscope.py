@@ -71,15 +71,24 @@ def changed_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch")
     affected. Affected are the added lines; a pure deletion is anchored at the
     last new-file position reached."""
     rows = diff_lines(patches, key, text)
-    hits = rows.filter(F.col("kind").isin("added", "deleted")).select(
-        key, "kind", F.when(F.col("kind") == "added", F.col("new_line")).otherwise(F.col("old_line")).alias("line")).distinct()
-    per = rows.groupBy(key).agg(
-        F.count_if(F.col("kind") == "added").alias("_a"),
-        F.count_if(F.col("kind") == "deleted").alias("_d"),
-        F.max_by(F.col("new_line") + F.col("step_new"), "pos").alias("_end"),
+    # the totals use the partitioning the numbering already made: still one shuffle
+    whole = Window.partitionBy(key)
+    kind = F.col("kind")
+    rows = rows.withColumns({
+        "_a": F.count_if(kind == "added").over(whole),
+        "_d": F.count_if(kind == "deleted").over(whole),
+        "_last": F.max("pos").over(whole) == F.col("pos"),
+    })
+    mark = lambda k, line: F.struct(F.lit(k).alias("kind"), line.alias("line"))
+    none = F.array().cast("array<struct<kind:string,line:bigint>>")
+    own = (
+        F.when(kind == "added", F.array(mark("added", F.col("new_line")), mark("affected", F.col("new_line"))))
+        .when(kind == "deleted", F.array(mark("deleted", F.col("old_line"))))
+        .otherwise(none)
     )
-    anchor = per.filter("_a = 0 AND _d > 0").select(key, F.lit("affected").alias("kind"), F.greatest(F.lit(1), "_end").alias("line"))
-    return hits.unionByName(anchor).unionByName(hits.filter("kind = 'added'").withColumn("kind", F.lit("affected")))
+    end = F.greatest(F.lit(1).cast("long"), F.col("new_line") + F.col("step_new"))
+    anchor = F.when(F.col("_last") & (F.col("_a") == 0) & (F.col("_d") > 0), F.array(mark("affected", end))).otherwise(none)
+    return rows.select(key, F.explode(F.concat(own, anchor)).alias("_m")).select(key, "_m.kind", "_m.line").distinct()
 
 
 def changed_lines_arrays(patches: DataFrame, key: str = "diff_id", text: str = "patch") -> DataFrame:
