@@ -1,6 +1,6 @@
 """Point-in-interval joins as equi joins (JOI-11, JOI-12).
 
-Every interval is cut into few aligned blocks of size 1, 8, 64, ...; a point lies
+Every interval is cut into few aligned blocks of size 1, 4, 16, ...; a point lies
 in exactly one block per size. Joining on (key, level, block) finds precisely the
 intervals that contain the point, without a range condition and without listing
 the lines of long intervals. Blocks also spread a hot key over many tasks.
@@ -13,8 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BASE = 8
-LEVELS = 8  # covers positions below 8**8
+BASE = 4
+LEVELS = 12  # covers positions below 4**12
 
 
 def _run(lo: Column, hi: Column) -> Column:

@@ -50,3 +50,10 @@ def position_in_group(
     return joined.withColumn(name, (F.col("_pos") + F.col("_start")).cast("long")).drop(
         "_pos", "_start", "_bucket", "_kb", *[f"_k{i}" for i in range(len(keys))]
     )
+
+
+def once(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """Add a column that is computed once per row. The optimizer would otherwise
+    copy a long expression into every later use of it, and into filters on it;
+    a one-element generator keeps it in one place."""
+    return df.select("*", F.explode_outer(F.array(column)).alias(name))
