@@ -163,10 +163,11 @@ def chunks(df: DataFrame, doc_id: str, text: str, size: int = 1000, overlap: int
 def tokens(c: str | Column) -> Column:
     """TXT-06: distinct lower-case ASCII alphanumeric runs and Unicode words."""
     x = F.lower(F.coalesce(col(c), F.lit("")))
-    return F.array_union(
-        F.regexp_extract_all(x, F.lit("[a-zA-Z0-9]+"), F.lit(0)),
-        F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)),
-    )
+    words = F.array_distinct(F.regexp_extract_all(x, F.lit(r"(?U)\w+"), F.lit(0)))
+    # ASCII runs lie inside words, and a plain word is its own run: only the other
+    # words need a second look
+    mixed = F.array_join(F.filter(words, lambda w: w.rlike("[^a-zA-Z0-9]")), " ")
+    return F.array_union(words, F.regexp_extract_all(mixed, F.lit("[a-zA-Z0-9]+"), F.lit(0)))
 
 
 def content_fingerprint(c: str | Column) -> Column:

@@ -12,9 +12,8 @@ from pyspark.sql.window import Window
 from tidewatch.functions import text as T
 from tidewatch.operators.intervals import containing
 
-# The hunk header, lines that end a hunk, and line separators.
+# The hunk header and the line separators.
 HUNK = r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@"
-CLOSERS = r"^(\+\+\+|---|diff |index )"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 # Words and marks of the patch-only secret test.
 SECRET_WORDS = ["jwt_secret", "api_key", "password", "secret"]
@@ -36,9 +35,10 @@ def diff_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch") ->
     windows never span more than the lines of one patch."""
     rows = lines_of(patches, text, [key])
     c = F.col("content")
-    header, closer = c.rlike(HUNK), c.rlike(CLOSERS)
+    header = c.startswith("@@") & c.rlike(HUNK)
+    closer = c.startswith("+++") | c.startswith("---") | c.startswith("diff ") | c.startswith("index ")
     order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    num = lambda g: F.nullif(F.regexp_extract(c, HUNK, g), F.lit("")).cast("long")
+    num = lambda g: F.when(header, F.nullif(F.regexp_extract(c, HUNK, g), F.lit(""))).cast("long")
     rows = rows.withColumns({
         "is_header": header,
         "segment": F.count_if(header | closer).over(order),
@@ -98,44 +98,51 @@ def changed_lines_arrays(patches: DataFrame, key: str = "diff_id", text: str = "
     return rows.groupBy(key).agg(pick("added"), pick("deleted"), pick("affected"))
 
 
-def tightest_scope(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """JOI-11 / RNK-06: the innermost function around each changed line: shortest
-    span, then the latest start. A grouped minimum, so no window over a file."""
-    hits = containing(lines, functions, keys, "line", "start_line", "end_line")
+def scoped_lines(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """JOI-11 / RNK-06: every changed line with its innermost function (shortest
+    span, then latest start); NULL outside all functions. A grouped minimum over
+    an outer join, so no window spans a file and the lines are read once."""
+    hits = containing(lines, functions, keys, "line", "start_line", "end_line", how="left")
     f = F.struct("name", "class_name", "start_line", "end_line")
-    order = F.struct(F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("name"), F.col("class_name"))
+    order = F.when(F.col("start_line").isNotNull(), F.struct(
+        F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("name"), F.col("class_name")))
     best = hits.groupBy(*keys, "line").agg(F.min_by(f, order).alias("s"))
     return best.select(*keys, "line", "s.*")
 
 
+def tightest_scope(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The changed lines that lie in a function, with that function."""
+    return scoped_lines(lines, functions, keys).filter("start_line IS NOT NULL")
+
+
 def changed_scopes(lines: DataFrame, functions: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
     """AST-31: scopes touched by a change, with their changed line count and
     bounds. Lines outside every function form one module scope per file.
     ``files`` carries the line total of each file."""
-    inner = tightest_scope(lines, functions, keys)
-    fn = inner.groupBy(*keys, "name", "class_name", "start_line", "end_line").agg(
-        F.countDistinct("line").alias("changed"), F.min("line").alias("first_changed"), F.max("line").alias("last_changed"))
-    fn = fn.select(
-        *keys, F.when(F.col("class_name").isNotNull(), "method").otherwise("function").alias("scope_type"),
-        F.concat_ws(".", "class_name", "name").alias("name"), "class_name", "start_line", "end_line",
-        "changed", "first_changed", "last_changed")
-    rest = lines.select(*keys, "line").distinct().join(inner.select(*keys, "line"), [*keys, "line"], "left_anti")
-    mod = rest.groupBy(*keys).agg(F.count(F.lit(1)).alias("changed"), F.min("line").alias("first_changed"), F.max("line").alias("last_changed"))
-    mod = mod.join(files.select(*keys, "total_lines"), list(keys)).select(
-        *keys, F.lit("module").alias("scope_type"), F.lit(MODULE).alias("name"), F.lit(None).cast("string").alias("class_name"),
-        F.lit(1).cast("long").alias("start_line"), F.greatest(F.lit(1), "total_lines").cast("long").alias("end_line"),
+    per = scoped_lines(lines, functions, keys).groupBy(*keys, "name", "class_name", "start_line", "end_line").agg(
+        F.count(F.lit(1)).alias("changed"), F.min("line").alias("first_changed"), F.max("line").alias("last_changed"))
+    module = F.col("start_line").isNull()
+    out = per.join(files.select(*keys, "total_lines"), list(keys), "left")
+    return out.select(
+        *keys,
+        F.when(module, "module").when(F.col("class_name").isNotNull(), "method").otherwise("function").alias("scope_type"),
+        F.when(module, MODULE).otherwise(F.concat_ws(".", "class_name", "name")).alias("name"), "class_name",
+        F.when(module, 1).otherwise(F.col("start_line")).cast("long").alias("start_line"),
+        F.when(module, F.greatest(F.lit(1), F.coalesce("total_lines", F.lit(1)))).otherwise(F.col("end_line")).cast("long").alias("end_line"),
         "changed", "first_changed", "last_changed")
-    return fn.withColumns({"start_line": F.col("start_line").cast("long"), "end_line": F.col("end_line").cast("long")}).unionByName(mod)
 
 
 def filter_to_diff(findings: DataFrame, scopes: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """FLT-14 / JOI-12: keep findings on a changed line or inside a changed
-    function; findings without a line, and files without any change record, stay."""
-    touched = scopes.select(*keys).unionByName(lines.select(*keys)).distinct().withColumn("_touched", F.lit(True))
+    function; findings without a line, and files without any change record, stay.
+    ``scopes`` come from ``lines``, so the files of ``scopes`` are all files touched."""
+    touched = scopes.select(*keys).distinct().withColumn("_touched", F.lit(True))
     at = findings.filter("line IS NOT NULL").select(*keys, "line").distinct()
-    fns = scopes.filter("scope_type <> 'module'").select(*keys, "start_line", "end_line").distinct()
-    inside = containing(at, fns, keys, "line", "start_line", "end_line").select(*keys, "line")
-    ok = inside.unionByName(lines.select(*keys, F.col("line").cast(at.schema["line"].dataType).alias("line"))).distinct().withColumn("_ok", F.lit(True))
+    kind = at.schema["line"].dataType
+    # a changed line is an interval of length one: one join answers both rules
+    spans = scopes.filter("scope_type <> 'module'").select(*keys, F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
+    spans = spans.unionByName(lines.select(*keys, F.col("line").alias("_s"), F.col("line").alias("_e")))
+    ok = containing(at, spans, keys, "line", "_s", "_e").select(*keys, F.col("line").cast(kind).alias("line")).distinct().withColumn("_ok", F.lit(True))
     rows = findings.join(touched, list(keys), "left").join(ok, [*keys, "line"], "left")
     return rows.filter("_touched IS NULL OR line IS NULL OR _ok").drop("_touched", "_ok")
 

@@ -169,60 +169,47 @@ def ground(findings: DataFrame, valid_documents: DataFrame) -> DataFrame:
     return findings.join(valid_documents.select("document_id"), "document_id", "left_semi")
 
 
-def identity(evidence_id: str = "evidence_id") -> list[Column]:
-    """Merge identity: the evidence id alone when there is one, else category,
-    title, document and signal."""
+def identity(evidence_id: str = "evidence_id") -> Column:
+    """Merge identity as one text: the evidence id alone when there is one, else
+    category, title, document and signal."""
     eid = F.nullif(T.strip(F.coalesce(evidence_id, F.lit(""))), F.lit(""))
-    other = lambda c: F.when(eid.isNull(), c)
-    return [
-        eid.alias("id_evidence"),
-        other(F.lower(T.strip("category"))).alias("id_category"),
-        other(F.lower(T.strip("title"))).alias("id_title"),
-        other(F.col("document_id")).alias("id_document"),
-        other(F.col("signal_type")).alias("id_type"),
-        other(F.col("signal_name")).alias("id_name"),
-    ]
+    other = F.concat_ws(
+        "\x1f", F.lower(T.strip("category")), F.lower(T.strip("title")), F.coalesce("document_id", F.lit("")),
+        F.coalesce("signal_type", F.lit("")), F.coalesce("signal_name", F.lit("")))
+    return F.coalesce(F.concat(F.lit("E"), eid), other).alias("identity")
 
 
-IDENTITY = ["id_evidence", "id_category", "id_title", "id_document", "id_type", "id_name"]
 EVIDENCE = ["document_id", "line_start", "line_end", "signal_type", "signal_name"]
 
 
 def merge_findings(findings: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
     """AGR-08: one row per identity. Severity and confidence are the strongest
-    seen, every other field comes from the first row by ``position``. Distinct
-    evidence is counted after a grouped pass, so partial aggregation always runs
-    before the shuffle."""
-    keyed = findings.select("*", *identity())
-    first = F.struct(*position)
-    ev = keyed.groupBy(*scope, *IDENTITY, *EVIDENCE).agg(
-        F.max(severity_rank()).alias("_sev"),
-        F.max(confidence_rank()).alias("_conf"),
-        F.min_by(F.struct("title", "description", "category", "file_path", "line"), first).alias("_rest"),
-        F.min(first).alias("_first"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    head = F.struct(F.col("_rest"), *[F.col(c) for c in EVIDENCE])
-    out = ev.groupBy(*scope, *IDENTITY).agg(
-        F.max("_sev").alias("_sev"),
-        F.max("_conf").alias("_conf"),
-        F.min_by(head, F.col("_first")).alias("_head"),
-        F.min("_first").alias("_first"),
-        F.count(F.lit(1)).alias("evidence_count"),
-        F.sum("_rows").alias("merged_rows"),
+    seen, every other field comes from the first row by ``position``. All are
+    grouped maxima and minima, so partial aggregation always runs before the
+    shuffle."""
+    head = ["title", "description", "category", "file_path", "line", *EVIDENCE]
+    keyed = findings.select(*scope, identity(), severity_rank().alias("_s"), confidence_rank().alias("_c"), F.struct(*position).alias("_p"), *head)
+    out = keyed.groupBy(*scope, "identity").agg(
+        F.max("_s").alias("_sev"), F.max("_c").alias("_conf"), F.count(F.lit(1)).alias("merged_rows"),
+        F.min_by(F.struct(*head, F.col("_p").alias("_first")), "_p").alias("_head"),
     )
     return out.select(
-        *scope, *IDENTITY, "_head._rest.*", *[F.col(f"_head.{c}").alias(c) for c in EVIDENCE],
-        _name("_sev", SEVERITY_RANK).alias("severity"), _name("_conf", CONFIDENCE_RANK).alias("confidence"),
-        "evidence_count", "merged_rows", "_first",
-    )
+        *scope, "identity", "_head.*", _name("_sev", SEVERITY_RANK).alias("severity"), _name("_conf", CONFIDENCE_RANK).alias("confidence"), "merged_rows")
+
+
+def with_evidence_count(merged: DataFrame, findings: DataFrame, scope: Sequence[str]) -> DataFrame:
+    """Number of distinct evidence items of every merged finding, counted by two
+    grouped passes and joined back."""
+    items = findings.select(*scope, identity(), *EVIDENCE).groupBy(*scope, "identity", *EVIDENCE).agg(F.lit(1).alias("_one"))
+    n = items.groupBy(*scope, "identity").agg(F.count(F.lit(1)).alias("evidence_count"))
+    return merged.join(n, [*scope, "identity"])
 
 
 def merged_evidence(findings: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
     """AGR-08, evidence side: distinct evidence per merged finding as rows, with
     the position at which each was first seen."""
-    keyed = findings.select("*", *identity())
-    return keyed.groupBy(*scope, *IDENTITY, *EVIDENCE).agg(F.min(F.struct(*position)).alias("first_seen"))
+    keyed = findings.select("*", identity())
+    return keyed.groupBy(*scope, "identity", *EVIDENCE).agg(F.min(F.struct(*position)).alias("first_seen"))
 
 
 def finding_order() -> list[Column]:

@@ -45,12 +45,14 @@ def _blocks(start: Column, end: Column) -> Column:
     return F.flatten(F.array(*parts))
 
 
-def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str) -> DataFrame:
-    """Inner join of points with every interval of the same key that contains them."""
+def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, how: str = "inner") -> DataFrame:
+    """Join points with every interval of the same key that contains them. With
+    ``how="left"`` a point also appears once per level it found nothing at, with
+    empty interval columns."""
     p = points.withColumn("_at", F.explode(F.array(*[
         F.struct(F.lit(lv).alias("level"), F.floor(F.col(point).cast("long") / (BASE**lv)).alias("block"))
         for lv in range(LEVELS)
     ]))).select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
     i = intervals.filter(F.col(start) <= F.col(end)).withColumn("_in", F.explode(_blocks(F.col(start), F.col(end)))).select(
         "*", F.col("_in.level").alias("_level"), F.col("_in.block").alias("_block")).drop("_in")
-    return p.join(i, [*keys, "_level", "_block"]).drop("_level", "_block")
+    return p.join(i, [*keys, "_level", "_block"], how).drop("_level", "_block")

@@ -62,7 +62,7 @@ JS = [
 
 
 def sources(spark, d, templates, ext):
-    p = B.table(spark, d, "part")
+    p = B.spread(B.table(spark, d, "part").select("p_partkey", "p_size"), "p_partkey")
     body = F.element_at(F.array(*[F.lit(t[0]) for t in templates]), (F.col("p_size") % len(templates) + 1).cast("int"))
     return p.select(F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.lit(ext)).alias("file_path"), body.alias("source"))
 

@@ -14,7 +14,7 @@ from tidewatch.sources import bridge as B
 def patches(spark, d):
     """One rendered patch per order. Its shape follows the order status: F deletes
     only, O has two hunks and a file marker between, P omits the counts."""
-    o = B.table(spark, d, "orders")
+    o = B.spread(B.table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey")
     s = F.col("o_custkey") + 1
     st = s.cast("string")
     far = (s + 100).cast("string")

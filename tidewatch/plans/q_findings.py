@@ -83,8 +83,8 @@ def _(spark, d):
     ("findings",),
 )
 def _(spark, d):
-    return merged(spark, d).select(
-        "analysis_id", "title", "category", "document_id", "severity", "confidence", "evidence_count", "merged_rows")
+    m = X.with_evidence_count(merged(spark, d), normalized(spark, d), ["analysis_id"])
+    return m.select("analysis_id", "title", "category", "document_id", "severity", "confidence", "evidence_count", "merged_rows")
 
 
 @query(
@@ -100,7 +100,7 @@ def _(spark, d):
 def _(spark, d):
     # one huge identity per (category, signal): every row of it merges into one finding
     f = normalized(spark, d).withColumn("evidence_id", F.concat_ws("/", F.lower("category"), "signal_type"))
-    out = X.merge_findings(f, [], POS_NORM)
+    out = X.with_evidence_count(X.merge_findings(f, [], POS_NORM), f, [])
     return out.select(F.lower("category").alias("category"), "signal_type", "evidence_count", "merged_rows", "severity")
 
 
@@ -110,9 +110,8 @@ def _(spark, d):
     ("findings",),
 )
 def _(spark, d):
-    k = normalized(spark, d).select("*", *X.identity())
-    key = F.coalesce(F.concat(F.lit("E"), "id_evidence"), F.concat_ws("|", *X.IDENTITY[1:]))
-    return k.groupBy("analysis_id", key.alias("identity"), *X.EVIDENCE).agg(F.count(F.lit(1)).alias("n")).select(
+    k = normalized(spark, d).withColumn("identity", F.replace(X.identity(), F.lit("\x1f"), F.lit("|")))
+    return k.groupBy("analysis_id", "identity", *X.EVIDENCE).agg(F.count(F.lit(1)).alias("n")).select(
         "analysis_id", "identity", "document_id", "line_start", "signal_name", "n")
 
 
@@ -344,12 +343,13 @@ def _(spark, d):
 
 @query(
     "fingerprint_set_digest",
-    """SELECT analysis_id, left(sha256(string_agg(DISTINCT document_id, ',' ORDER BY document_id)), 16) AS digest FROM findings GROUP BY 1""",
+    NORM + """SELECT analysis_id, left(sha256(string_agg(DISTINCT document_id, ',' ORDER BY document_id)), 16) AS digest FROM kept GROUP BY 1""",
     ("findings",),
 )
 def _(spark, d):
-    ids = B.findings(spark, d).select("analysis_id", "document_id")
-    return ids.groupBy("analysis_id").agg(F.collect_set("document_id").alias("ids")).select("analysis_id", H.set_digest(F.col("ids")).alias("digest"))
+    # a report holds at most twenty findings, so the list is bounded
+    ids = F.transform("findings", lambda f: f["document_id"])
+    return reports(spark, d).select("analysis_id", H.set_digest(ids).alias("digest"))
 
 
 @query(

@@ -18,7 +18,7 @@ from tidewatch.sources import bridge as B
 
 
 def docs(spark, d):
-    return B.table(spark, d, "documents")
+    return B.spread(B.table(spark, d, "documents"), "doc_id")
 
 
 def chunk_sql(size: int, overlap: int) -> str:

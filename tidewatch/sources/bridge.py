@@ -16,6 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a scan with fewer splits than cores before heavy per-row work. A
+    large input has more splits than that and is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 _ANALYSES = """
   SELECT o.o_orderkey AS analysis_id,
          CASE o.o_orderpriority WHEN '5-LOW' THEN 'failed' WHEN '1-URGENT' THEN 'completed' ELSE 'success' END AS status,
@@ -108,7 +115,7 @@ def knowledge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Retrieval documents with an open metadata map."""
     meta = F.create_map(
         F.lit("document_type"), "document_type", F.lit("title"), "title", F.lit("cwe_id"), "cwe_id")
-    return _view(spark, sf_dir, "kdocs").withColumn("metadata", meta)
+    return spread(_view(spark, sf_dir, "kdocs"), "doc_id").withColumn("metadata", meta)
 
 
 def sql_views(*names: str) -> str:
