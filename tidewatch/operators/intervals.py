@@ -13,46 +13,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BASE = 4
-LEVELS = 12  # covers positions below 4**12
+TOP = 11  # highest level; blocks there cover 4**11 positions, repeated as often as needed
 
 
-def _run(lo: Column, hi: Column) -> Column:
+def _run(lo: str, hi: str) -> str:
     """Block numbers lo..hi, empty when lo > hi."""
-    return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<bigint>"))
-
-
-def _tagged(ids: Column, level: int) -> Column:
-    return F.transform(ids, lambda b: F.struct(F.lit(level).alias("level"), b.alias("block")))
-
-
-def _blocks(start: Column, end: Column) -> Column:
-    parts = []
-    start, end = start.cast("long"), end.cast("long")
-    for level in range(LEVELS):
-        size = BASE**level
-        lo = F.floor((start + size - 1) / size)
-        hi = F.floor((end + 1) / size) - 1
-        if level + 1 < LEVELS:
-            up = size * BASE
-            plo = F.floor((start + up - 1) / up)
-            phi = F.floor((end + 1) / up) - 1
-            inner = plo <= phi
-            ids = F.when(inner, F.concat(_run(lo, plo * BASE - 1), _run(phi * BASE + BASE, hi))).otherwise(_run(lo, hi))
-        else:
-            ids = _run(lo, hi)
-        parts.append(_tagged(ids, level))
-    return F.flatten(F.array(*parts))
-
-
-def containing(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, how: str = "inner") -> DataFrame:
+    return f"CASE WHEN {lo} <= {hi} THEN sequence({lo}, {hi}) ELSE CAST(array() AS array<bigint>) END"
+
+
+def _blocks(start: str, end: str) -> Column:
+    """Aligned blocks that make up start..end: at each level those inside the
+    interval whose parent block is not inside it."""
+    s, e = f"CAST({start} AS BIGINT)", f"CAST({end} AS BIGINT)"
+    lo = f"shiftright({s} + shiftleft(1L, 2 * l) - 1, 2 * l)"
+    hi = f"(shiftright({e} + 1, 2 * l) - 1)"
+    plo = f"shiftright({s} + shiftleft(1L, 2 * l + 2) - 1, 2 * l + 2)"
+    phi = f"(shiftright({e} + 1, 2 * l + 2) - 1)"
+    ids = (
+        f"CASE WHEN l < {TOP} AND {plo} <= {phi} THEN concat({_run(lo, f'{plo} * 4 - 1')}, {_run(f'{phi} * 4 + 4', hi)}) "
+        f"ELSE {_run(lo, hi)} END"
+    )
+    return F.expr(f"flatten(transform(sequence(0, {TOP}), l -> transform({ids}, b -> struct(l AS level, b AS block))))")
+
+
+def containing(
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, how: str = "inner"
+) -> DataFrame:
     """Join points with every interval of the same key that contains them. With
     ``how="left"`` a point also appears once per level it found nothing at, with
     empty interval columns."""
-    p = points.withColumn("_at", F.explode(F.array(*[
-        F.struct(F.lit(lv).alias("level"), F.floor(F.col(point).cast("long") / (BASE**lv)).alias("block"))
-        for lv in range(LEVELS)
-    ]))).select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
-    i = intervals.filter(F.col(start) <= F.col(end)).withColumn("_in", F.explode(_blocks(F.col(start), F.col(end)))).select(
+    at = F.expr(f"transform(sequence(0, {TOP}), l -> struct(l AS level, shiftright(CAST({point} AS BIGINT), 2 * l) AS block))")
+    p = points.select("*", F.explode(at).alias("_at")).select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
+    i = intervals.filter(F.col(start) <= F.col(end)).select("*", F.explode_outer(_blocks(start, end)).alias("_in")).select(
         "*", F.col("_in.level").alias("_level"), F.col("_in.block").alias("_block")).drop("_in")
     return p.join(i, [*keys, "_level", "_block"], how).drop("_level", "_block")
