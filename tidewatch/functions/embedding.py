@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tidewatch.functions.text import tokens
 
@@ -20,7 +21,7 @@ def token_bins(c: str | Column) -> Column:
     return F.transform(tokens(c), lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 2), 16, 10).cast("int"), F.lit(BINS)))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(ArrayType(FloatType()))
 def _count_bins(bins: pd.Series) -> pd.Series:
     return pd.Series([np.bincount(np.asarray(b, dtype=np.int64), minlength=BINS).astype(np.float32) for b in bins])
 

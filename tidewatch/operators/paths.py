@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import text as T
 
@@ -108,7 +109,7 @@ def limits(files: DataFrame) -> DataFrame:
         "over_limit", (F.col("files") > MAX_FILES) | (F.col("bytes") > MAX_TOTAL_BYTES))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def non_text_share(chunk: pd.Series) -> pd.Series:
     """TXT-35: share of non-text bytes in a leading chunk; 1.0 when it holds NUL."""
     text = bytes(range(32, 127)) + b"\t\n\r"

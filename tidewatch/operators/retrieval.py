@@ -102,9 +102,9 @@ def _knn_blocked(queries: DataFrame, vec: DataFrame, k: int) -> DataFrame:
     nv = -(-vec.count() // BLOCK_ROWS)
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), "embedding").withColumn(
         "qb", F.pmod(F.xxhash64("query_id"), F.lit(nq)))
-    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0), F.lit(nv - 1))).cast("long"))
+    q = q.withColumn("vb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nv - 1).cast("long"))))
     v = vec.withColumn("vb", F.pmod(F.xxhash64("document_id"), F.lit(nv))).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long"))
+        "qb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nq - 1).cast("long"))))
 
     def block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         parts = []

@@ -15,7 +15,7 @@ SPAN = 30 * 86400
 def stream(spark, d):
     schema = B.table(spark, d, "events").schema
     # a bounded micro-batch bounds what one key can bring to one task
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", "256m").parquet(d)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxBytesPerTrigger", 256 * 1024 * 1024).parquet(d)
 
 
 def micros(c="ts"):
