@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.operators import analytics as A
 from tidewatch.operators import dashboards as D
 from tidewatch.operators import predicates as P
-from tidewatch.operators.ranking import position_in_group, top_n
+from tidewatch.operators.ranking import exact_quantiles, position_in_group, top_n
 from tidewatch.sources import bridge as B
 
 NOW = "2026-01-31 00:00:00"
@@ -116,3 +116,15 @@ def test_inputs_unchanged(rows):
     before = a.collect()
     A.developer_analytics(a.selectExpr("*", *[f"0 AS {c}" for c in ("finding_count", "critical_count", "high_count", "medium_count", "low_count")]), NOW).collect()
     assert a.collect() == before
+
+
+def test_quantiles_of_a_hot_key(rows):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    data = [("hot" if i % 4 else f"k{i % 3}", float(np.round(rng.normal(0, 50), 1))) for i in range(3000)] + [("one", 7.5), ("nul", None)]
+    got = {r["k"]: (r["a"], r["b"]) for r in exact_quantiles(rows(data, "k string, v double"), "k", "v", {"a": 0.5, "b": 0.95}, 10.0).collect()}
+    assert set(got) == {k for k, v in data if v is not None}
+    for k, (a, b) in got.items():
+        v = [x for kk, x in data if kk == k]
+        assert abs(a - np.quantile(v, 0.5)) < 1e-9 and abs(b - np.quantile(v, 0.95)) < 1e-9

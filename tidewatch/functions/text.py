@@ -14,7 +14,7 @@ REDACTED = "[REDACTED_SECRET]"
 REDACTED_CREDENTIAL = "[REDACTED_CREDENTIAL]"
 REDACTED_SCRIPT = "[REDACTED_SCRIPT]"
 TRUNCATED = "...[truncated]"
-SENTINEL_SECRET = "THIS_SECRET_MUST_NOT_APPEAR"
+PLANTED_SECRET = "THIS_SECRET_MUST_NOT_APPEAR"
 
 # Credential patterns, applied in this order (Java regex dialect).
 VENDOR_TOKEN = (
@@ -78,7 +78,7 @@ def scrub_comment(c: str | Column) -> Column:
 
 def mask_secret(c: str | Column) -> Column:
     """TXT-05."""
-    return F.replace(F.coalesce(col(c), F.lit("")), F.lit(SENTINEL_SECRET), F.lit(REDACTED))
+    return F.replace(F.coalesce(col(c), F.lit("")), F.lit(PLANTED_SECRET), F.lit(REDACTED))
 
 
 def redact_scripts(c: str | Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import predicates as P
-from tidewatch.operators.ranking import top_n
+from tidewatch.operators.ranking import exact_quantiles, top_n
 
 
 def daily_trend(analyses: DataFrame) -> DataFrame:
@@ -282,13 +282,11 @@ def last_admin_flags(rows: DataFrame) -> DataFrame:
 
 def bench_statistics(df: DataFrame, key: str, value: str) -> DataFrame:
     """AGR-23 / SCL-07: mean, median, interpolated p95, sample deviation."""
-    return df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.median(value), 6).alias("median"),
-        F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95"),
-        F.round(F.stddev_samp(value), 6).alias("stddev"),
-    )
+    q = exact_quantiles(df, key, value, {"median": 0.5, "p95": 0.95})
+    basic = df.groupBy(key).agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_samp(value), 6).alias("stddev"))
+    return basic.join(q, key).select(
+        key, "n", "mean", F.round("median", 6).alias("median"), F.round("p95", 6).alias("p95"), "stddev")
 
 
 def metric_counters(events: DataFrame) -> DataFrame:

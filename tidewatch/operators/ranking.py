@@ -52,6 +52,36 @@ def position_in_group(
     )
 
 
+def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float], width: float = 1.0) -> DataFrame:
+    """Interpolated quantiles per key for groups of any size.
+
+    Values are counted first. Each (key, bucket of ``width``) is numbered on its
+    own and starts where a running sum over the bucket totals says, so no task
+    holds all distinct values of a key. The two order statistics around each
+    quantile are then picked by a grouped maximum."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(key).alias("_k"), F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.withColumn("_b", F.floor(F.col("_v") / width))
+    totals = counts.groupBy("_k", "_b").agg(F.sum("_n").alias("_t"))
+    by_bucket = Window.partitionBy("_k").orderBy("_b")
+    totals = totals.withColumns({
+        "_start": F.coalesce(F.sum("_t").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)),
+        "_all": F.sum("_t").over(Window.partitionBy("_k")),
+    }).drop("_t")
+    inside = Window.partitionBy("_k", "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.withColumn("_to", F.sum("_n").over(inside)).join(totals, ["_k", "_b"])
+    rows = rows.withColumn("_to", F.col("_to") + F.col("_start"))  # exclusive end of this value's positions
+    picks = []
+    for name, p in probs.items():
+        at = (F.col("_all") - 1) * F.lit(p)
+        for side, pos in (("lo", F.floor(at)), ("hi", F.ceil(at))):
+            hit = (pos < F.col("_to")) & (pos >= F.col("_to") - F.col("_n"))
+            picks.append(F.max(F.when(hit, F.col("_v"))).alias(f"_{name}_{side}"))
+        picks.append(F.max(at - F.floor(at)).alias(f"_{name}_f"))
+    out = rows.groupBy("_k").agg(*picks)
+    return out.select(F.col("_k").alias(key), *[
+        (F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n) for n in probs])
+
+
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """Add a column that is computed once per row. The optimizer would otherwise
     copy a long expression into every later use of it, and into filters on it;

@@ -102,11 +102,11 @@ def _(spark, d):
 
 
 @query(
-    "sentinel_mask",
+    "planted_secret_mask",
     """SELECT doc_id, left(sha256(replace(text || ' THIS_SECRET_MUST_NOT_APPEAR', 'THIS_SECRET_MUST_NOT_APPEAR', '[REDACTED_SECRET]')), 16) AS h FROM documents""",
 )
 def _(spark, d):
-    x = T.mask_secret(F.concat("text", F.lit(" " + T.SENTINEL_SECRET)))
+    x = T.mask_secret(F.concat("text", F.lit(" " + T.PLANTED_SECRET)))
     return docs(spark, d).select("doc_id", F.left(F.sha2(x, 256), F.lit(16)).alias("h"))
 
 
