@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.operators import predicates as P
+from tidewatch.operators.ranking import beside
 
 SEVERITIES = ["critical", "high", "medium", "low", "info"]
 GATES = ["allow", "block", "review"]
@@ -138,7 +139,7 @@ def analytics_summary(
     now: str, suppressions_now: str, window: str = "30d", repository: str | None = None,
 ) -> DataFrame:
     """AGR-03: one row. Each side is reduced to a single row of counters before
-    the three are put side by side, so the cross joins touch one row each."""
+    the three are put side by side."""
     sel = P.in_window(analyses, window, now)
     if repository:
         sel = sel.filter(P.repo_matches(repository))
@@ -153,7 +154,7 @@ def analytics_summary(
         "other_severity_count", F.col("total_findings") - sum(F.col(f"{s}_count") for s in SEVERITIES)
     )
     sup = _suppressions_in(suppressions, suppressions_now, window, repository).agg(*suppression_states(suppressions_now))
-    return totals.crossJoin(sums).crossJoin(sup)
+    return beside(totals, sums, sup)
 
 
 def suppression_analytics(suppressions: DataFrame, now: str, window: str = "30d", repository=None) -> DataFrame:

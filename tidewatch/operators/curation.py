@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
-from tidewatch.operators.ranking import once, top_n
+from tidewatch.operators.ranking import beside, once, top_n
 
 # Supported weaknesses of curation and of extraction (the lists differ),
 # languages, the static fallback list and bounds.
@@ -96,7 +96,7 @@ def kev_statistics(kev: DataFrame) -> DataFrame:
     a = kev_associations(kev).groupBy("cve", "cwe").agg(F.lit(1).alias("one"))
     per = a.groupBy("cve").agg(F.count(F.lit(1)).alias("n")).agg(
         F.count(F.lit(1)).alias("distinct_matched_cves"), F.coalesce(F.sum("n"), F.lit(0)).alias("matched_cwe_associations"))
-    return rows.crossJoin(per)
+    return beside(rows, per)
 
 
 def normalize_cwe(c: str | Column) -> Column:

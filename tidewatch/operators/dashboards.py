@@ -273,11 +273,11 @@ def filter_users(rows: DataFrame, role: str | None = None, status: str | None =
 
 
 def last_admin_flags(rows: DataFrame) -> DataFrame:
-    """FLT-34: flag the user whose removal would leave no active admin. The
-    count is a one-row aggregate placed beside every user."""
-    admin = (F.col("role") == "ADMIN") & (F.col("status") == "ACTIVE")
-    n = rows.filter(admin).agg(F.count(F.lit(1)).alias("_admins"))
-    return rows.crossJoin(F.broadcast(n)).withColumn("last_admin", admin & (F.col("_admins") == 1)).drop("_admins")
+    """FLT-34: flag the user whose removal would leave no active admin: the only
+    active admin, if there is exactly one."""
+    admins = rows.filter((F.col("role") == "ADMIN") & (F.col("status") == "ACTIVE"))
+    only = admins.agg(F.count(F.lit(1)).alias("n"), F.min("user_id").alias("user_id")).filter("n = 1").select("user_id", F.lit(True).alias("_only"))
+    return rows.join(only, "user_id", "left").withColumn("last_admin", F.coalesce("_only", F.lit(False))).drop("_only")
 
 
 def bench_statistics(df: DataFrame, key: str, value: str) -> DataFrame:

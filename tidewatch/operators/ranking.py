@@ -82,6 +82,15 @@ def exact_quantiles(df: DataFrame, key: str, value: str, probs: dict[str, float]
         (F.col(f"_{n}_lo") + F.col(f"_{n}_f") * (F.col(f"_{n}_hi") - F.col(f"_{n}_lo"))).alias(n) for n in probs])
 
 
+def beside(*parts: DataFrame) -> DataFrame:
+    """One-row counter frames put into one row: stacked, then summed column by
+    column, so no cross join is needed."""
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    return stacked.agg(*[F.sum(c).alias(c) for c in stacked.columns])
+
+
 def once(df: DataFrame, name: str, column: Column) -> DataFrame:
     """Add a column that is computed once per row. The optimizer would otherwise
     copy a long expression into every later use of it, and into filters on it;
