@@ -46,3 +46,11 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until ``df`` has no column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

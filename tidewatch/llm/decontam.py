@@ -6,7 +6,6 @@ that ends there, and so every window that does."""
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_slices
+from tidewatch.llm.common import by_slices, free_name
 
 WINDOW = 10
 BLOCK_WORDS = 50_000
@@ -175,14 +174,14 @@ def _scanner(auto, keys: list[str]):
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: int = WINDOW) -> list[DataFrame]:
     """Items dealt by a hash into blocks of about ``block_words`` words. Items
-    longer than a block are cut into pieces that overlap by a window, which
-    keeps every window whole."""
+    longer than a block are cut into pieces that overlap by a window less one
+    word, which keeps every window whole."""
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = F.regexp_extract_all(F.coalesce(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.lit(word), F.lit(0))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("words")).filter(F.size("words") > 0)
     step = block_words
     cut = F.expr(f"transform(sequence(0, (size(words) - 1) div {step}), i -> slice(words, int(i * {step} + 1), {step + window - 1}))")
-    pieces = items.select("item", F.explode(cut).alias("words")).filter((F.size("words") >= window) | (F.size("words") > 0))
+    pieces = items.select("item", F.explode(cut).alias("words"))
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     n = -(-total // block_words)
     return [pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) for b in range(n)]
@@ -260,18 +259,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW,
     Spans of at least ``min_span`` words are cut out of the text. A document of
     whose words more than ``max_coverage`` lie in such spans is removed whole.
     Shorter spans (whole short items) stay. Nulls and empty texts stay."""
-    names = docs.columns
+    names, hits = docs.columns, free_name(docs, "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    others = [c for c in names if c not in ("doc_id", "text")]
-    packed = docs.select(F.struct("doc_id", *[F.col(f"`{c}`") for c in others]).alias("doc_id"), "text")
+    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
+    packed = docs.select(F.struct("doc_id", *others).alias("doc_id"), "text")
     found = contamination(packed, benchmark)
     long = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     kept = long.filter((F.col("n_words") == 0) | (covered <= max_coverage * F.col("n_words")))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        text = pa.array(_cut(batch.column("text").to_pylist(), batch.column("spans").to_pylist()), pa.string())
+        text = pa.array(_cut(batch.column("text").to_pylist(), batch.column(hits).to_pylist()), pa.string())
         return pa.RecordBatch.from_arrays([text if c == "text" else batch.column(c) for c in names], names=names)
 
-    flat = kept.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in names], "spans")
+    flat = kept.select(*[F.col("text") if c == "text" else F.col("doc_id").getField(c).alias(c) for c in names], F.col("spans").alias(hits))
     return flat.mapInArrow(by_slices(cut), types)

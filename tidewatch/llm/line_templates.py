@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import written
+from tidewatch.llm.common import free_name, written
 from tidewatch.operators.ranking import once
 
 #: Leading tokens on the levels of the tree.
@@ -97,13 +97,14 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*[f"`{c}`" for c in names])
     dropped = recurring(templates(masked_lines(docs)), min_docs, min_docs_long, long_tokens).filter("owner is not null")
-    numbered = docs.select("doc_id", _row_key().alias("row_key"), F.posexplode(F.expr(f"transform(split(text, '\\n'), x -> {mask_sql('x')})")).alias("at", "masked"))
+    key, gone, lines = (free_name(docs, n) for n in ("row_key", "gone", "lines"))
+    numbered = docs.select("doc_id", _row_key().alias(key), F.posexplode(F.expr(f"transform(split(text, '\\n'), x -> {mask_sql('x')})")).alias("at", "masked"))
     hit = _keyed(numbered.filter("masked <> ''")).drop("masked").join(dropped, ["h1", "h2"]).filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
-    places = hit.groupBy("row_key").agg(F.collect_set("at").alias("_gone"))
-    joined = docs.withColumn("row_key", _row_key()).join(places, "row_key", "left").drop("row_key")
-    joined = once(joined, "_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n")))
-    kept = F.expr("transform(array_sort(array_except(sequence(0, size(_lines) - 1), _gone)), i -> _lines[i])")
-    text = F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
+    places = hit.groupBy(key).agg(F.collect_set("at").alias(gone))
+    joined = docs.withColumn(key, _row_key()).join(places, key, "left")
+    joined = once(joined, lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
+    kept = F.expr(f"transform(array_sort(array_except(sequence(0, size({lines}) - 1), {gone})), i -> {lines}[i])")
+    text = F.when(F.col(gone).isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")).alias("text")
     return joined.select(
         *[text if c == "text" else F.col(f"`{c}`") for c in names],
-        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
+        F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"))

@@ -8,7 +8,6 @@ full sets. Links become classes by exchanging smallest neighbours."""
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import Memo, by_slices, written
+from tidewatch.llm.common import Memo, by_slices, free_name, written
 
 #: 32 bands of 4 samples miss a pair of similarity 0.8 with probability 5e-8.
 BANDS, ROWS = 32, 4
@@ -167,7 +166,6 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     own (a null doc_id there gives a null class, kept); null doc_ids elsewhere
     count for the links but not for the smallest. Rows with equal doc_id are
     rows of their own; repeated rows share a class and are kept or not alike."""
-    spark = docs.sparkSession
     limit = sketch_limit(percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / SAMPLES) ** 0.5)
     sig = written(signatures(docs, width), "signatures")
     nodes = written(sig.filter("node is not null").groupBy("node").agg(
@@ -211,5 +209,6 @@ def classes(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
 def deduplicate(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Rows of ``docs`` that :func:`classes` keeps, one for each doc_id and text;
     columns of ``docs``. All rows of a class without any doc_id stay."""
-    found = classes(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_key")), "left_anti")
+    a, b = free_name(docs, "_id"), free_name(docs, "_key")
+    found = classes(docs, width, percent).filter("not kept").select(F.col("doc_id").alias(a), F.col("text_key").alias(b)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(a)) & (F.xxhash64("text") == F.col(b)), "left_anti")
