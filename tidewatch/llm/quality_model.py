@@ -88,33 +88,29 @@ def class_balance(labels: DataFrame) -> float:
     return float(np.log((n.one + 1) / (n.zero + 1)))
 
 
-def fit(rows: list, log_odds: float = 0.0, epochs: int = 5, rate: float = 2.0, seed: int = 5) -> SubwordModel:
-    """Stochastic gradient descent, one document at a time, classes weighted
-    alike. Without rows of both classes the score is the share of class 1."""
+def fit(rows: list, log_odds: float = 0.0, steps: int = 16_000, rate: float = 1.0, seed: int = 5) -> SubwordModel:
+    """Stochastic gradient descent, one document at a time, drawn from both
+    classes in turn. Without rows of both classes the score is the share of class 1."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (FEATURES, DIM)).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
-    y = [int(r.quality) for r in rows]
-    if len(set(y)) < 2:
+    of_class = [[i for i, r in enumerate(rows) if r.quality == c] for c in (0, 1)]
+    if not all(of_class):
         return SubwordModel(vectors, layer, bias, log_odds)
     data = [mixture(r.text) for r in rows]
-    weight = [len(y) / (2 * y.count(c)) for c in (0, 1)]
-    steps, step = epochs * len(rows), 0
-    for _ in range(epochs):
-        for i in rng.permutation(len(rows)):
-            ids, w = data[i]
-            lr = rate * (1 - step / steps)
-            step += 1
-            hidden = w @ vectors[ids]
-            z = layer @ hidden + bias
-            p = np.exp(z - z.max())
-            p /= p.sum()
-            p[y[i]] -= 1
-            p *= weight[y[i]]
-            back = layer.T @ p
-            layer -= lr * 0.1 * np.outer(p, hidden)
-            bias -= lr * 0.02 * p
-            vectors[ids] -= (lr * 5) * np.outer(w, back)
+    for step in range(steps):
+        y = step % 2
+        ids, w = data[of_class[y][int(rng.integers(len(of_class[y])))]]
+        lr = rate * (1 - step / steps)
+        hidden = w @ vectors[ids]
+        z = layer @ hidden + bias
+        p = np.exp(z - z.max())
+        p /= p.sum()
+        p[y] -= 1
+        back = layer.T @ p
+        layer -= lr * 0.05 * np.outer(p, hidden)
+        bias -= lr * 0.01 * p
+        vectors[ids] -= lr * np.outer(w, back)
     return SubwordModel(vectors, layer, bias)
 
 
