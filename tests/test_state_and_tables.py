@@ -36,6 +36,10 @@ def test_dispatch_transitions():
     assert fsm.dispatch(("failed", "c1", 1, "http_400", 0), "claim", T0, "", 60)[1] == "terminal_failure"
     assert fsm.dispatch(("failed", "c3", 3, "x", 0), "claim", T0, "", 60)[1] == "max_attempts_exceeded"
     sent = fsm.dispatch(("sending", "c1", 1, "", T0), "success", T0, "c1", 60)[0]
+    free = fsm.dispatch(("sending", "c1", 1, "", T0), "release", T0, "c1", 60)[0]
+    again = fsm.dispatch(free, "claim", T0, "", 60)[0]
+    assert again[1:3] == ("c2", 1) and fsm.dispatch(again, "success", T0, "c1", 60) == (again, "rejected")  # no token twice
+    assert fsm.dispatch(free, "failure", T0, "", 60) == (free, "rejected")
     assert fsm.dispatch(sent, "failure", T0, "", 60) == (sent, "rejected") and fsm.dispatch(sent, "claim", T0, "", 60)[1] == "already_sent"
 
 
@@ -55,7 +59,7 @@ def test_claims_over_several_micro_batches(spark, tmp_path):
     got = L.run_to_table(L.claim_stream(stream, 600), "test-claims").collect()
     assert sorted(map(tuple, got)) == sorted(want)
     batch = spark.createDataFrame([(k, dt.datetime.fromtimestamp(t / 1e6, dt.timezone.utc).replace(tzinfo=None)) for k, t in events], "key string, ts timestamp_ntz")
-    n = L.claim_batch(batch, ["key"], "ts", 600, 5000).distinct().count()
+    n = L.claim_batch(batch, ["key"], "ts", 600).distinct().count()
     assert n == len(want)
 
 
@@ -138,6 +142,51 @@ def test_stratified_pick_equals_a_plain_walk(rows):
     assert sorted((r["language"], r["cwe_id"], r["cve_id"], r["file_change_id"]) for r in got) == sorted(want)
 
 
+def test_claims_after_a_long_gap_bypass_and_release(rows):
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    hot = [("k", t0 + i * day) for i in range(30)] + [("k", dt.datetime(2024, 6, 30))]
+    df = rows(hot + [(" None ", t0), (" None ", t0), (None, t0)], "key string, ts timestamp_ntz")
+    got = L.claim_batch(df, ["key"], "ts", 7 * 86400, L.claims_bypass("key")).collect()
+    assert sorted(r.accepted_at for r in got if r.key == "k") == [t0 + i * day for i in (0, 7, 14, 21, 28)] + [dt.datetime(2024, 6, 30)]
+    assert sum(r.key == " None " for r in got) == 2 and sum(r.key is None for r in got) == 1
+    claims = rows([("a", t0), ("b", t0), ("c", t0)], "key string, accepted_at timestamp_ntz")
+    released = rows([("a", t0 + day), ("b", t0 - day)], "key string, released_at timestamp_ntz")
+    assert sorted(r.key for r in L.release_claims(claims, released, ["key"]).collect()) == ["b", "c"]
+
+
+def test_tables_keep_their_layout_and_refuse_what_they_cannot_read(spark, rows, tmp_path):
+    import pytest
+
+    path = str(tmp_path / "t")
+    S.replace(rows([(1, "a"), (2, "b")], "k int, v string"), path, ["k"], 8)
+    S.replace(rows([(1, "c")], "k int, v string"), path, ["k"], 3)
+    S.insert_missing(rows([(3, "y"), (3, "x"), (2, "z")], "k int, v string"), path, ["k"], 5)
+    assert sorted((r.k, r.v) for r in S.read_table(spark, path).collect()) == [(1, "c"), (2, "b"), (3, "x")]
+    assert S.read_table(spark, str(tmp_path / "none")) is None
+    (tmp_path / "broken").mkdir()
+    (tmp_path / "broken" / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception):  # noqa: B017
+        S.read_table(spark, str(tmp_path / "broken"))
+
+
+def test_any_bytes_are_read(spark):
+    from tidewatch.operators import paths as P
+
+    df = spark.createDataFrame([("a", 4, bytearray(b"caf\xe9")), ("b", 3, bytearray(b"a\x00b")), ("c", 0, bytearray(b"")), ("d", 2, bytearray("é".encode())), ("e", 1, None)], "path string, size long, content binary")
+    got = {r.path: (r.skip, r.source) for r in P.read_sources(df).collect()}
+    assert got["a"] == (None, "caf\ufffd") and got["b"] == ("binary", None) and got["c"] == (None, "") and got["d"][0] == "binary" and got["e"] == (None, None)
+    assert {r.skip for r in P.read_sources(df, max_bytes=3).filter("path = 'a'").collect()} == {"too_large"}
+
+
+def test_fix_documents_are_numbered_without_a_cut(rows):
+    data = [(f"CVE-20{i % 5}-{i:04d}", "CWE-89", i, f"h{i}", "Python" if i % 9 else "agnostic", "f", "m", "a", "b", None, None, "True") for i in range(250)]
+    df = rows(data, "cve_id string, cwe_id string, file_change_id int, hash string, programming_language string, filename string, msg string, code_before string, code_after string, method_name string, method_code string, before_change string")
+    ids = [r.document_id for r in C.fix_documents(df).collect()]
+    kept = sorted(d[0] for d in data if d[4] == "Python")
+    assert sorted(ids) == sorted(f"knowledge_cvefixes_{c}_CWE-89_{i + 1}" for i, c in enumerate(kept))
+    assert C.fix_documents(df, 7).count() == 7
+
+
 def test_explanations(rows):
     df = rows([("Path traversal", "C", None, "d", "f", 3, "s", "n"), (None, None, None, None, None, None, None, None)],
               "title string, category string, cwe_id string, document_id string, file_path string, line int, signal_type string, signal_name string")
@@ -147,4 +196,4 @@ def test_explanations(rows):
     bad = rows([("<script>x</script> hi", "T", "C", None), ('{"summary": "<script>x</script> hi", "recommendation": "do"}', "T", "C", "CWE-1")],
                "answer string, title string, category string, cwe_id string")
     x, y = R.validate_explanation(bad).collect()
-    assert x["summary"].startswith("T identified") and y["summary"] == "[REDACTED_SCRIPT] hi" and y["remediation"] == "do" and y["references"] == ["OWASP / CWE-1"]
+    assert x["summary"].startswith("T was found") and y["summary"] == "[REDACTED_SCRIPT] hi" and y["remediation"] == "do" and y["references"] == ["OWASP / CWE-1"]

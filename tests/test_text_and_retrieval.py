@@ -58,7 +58,18 @@ def test_signature(rows):
     good = "sha256=" + hmac.new(b"k", b"body", hashlib.sha256).hexdigest()
     df = rows([("body", good), ("body", good[:-1] + "0"), ("body", None), ("body", "md5=1")], "b string, s string")
     got = [r[0] for r in df.select(H.signature_valid("b", "s", "k")).collect()]
-    assert got[0] is True and got[2:] == [False, False]
+    assert got == [True, False, False, False]
+    long = "k" * 100
+    signed = "sha256=" + hmac.new(long.encode(), "é body".encode(), hashlib.sha256).hexdigest()
+    assert rows([("é body", signed)], "b string, s string").select(H.signature_valid("b", "s", long)).first()[0]
+
+
+def test_empty_topic_fits_every_signal(rows):
+    f = rows([("abc_call", None), ("other", "CWE-1")], "signal_type string, cwe_id string")
+    cat = rows([("d3", 3, "CWE-9", None), ("d5", 5, "CWE-9", ""), ("d1", 1, "CWE-1", "zzz"), ("d2", 2, None, "abc")], "document_id string, pos int, cwe_id string, security_topic string")
+    got = {r.signal_type: r.curated_id for r in R.curated_by_cwe_or_topic(f, cat, "pos").collect()}
+    assert got == {"abc_call": "d2", "other": "d1"}
+    assert R.curated_by_cwe_or_topic(rows([("q", None)], "signal_type string, cwe_id string"), cat, "pos").first().curated_id == "d3"
 
 
 def brute(q, v, k):

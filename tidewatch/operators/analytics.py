@@ -43,7 +43,7 @@ def severity_histogram(findings: DataFrame) -> DataFrame:
 
 
 def repository_analytics(
-    analyses: DataFrame, findings: DataFrame, now: str, window: str = "30d", limit: int = 20
+    analyses: DataFrame, findings: DataFrame, now: str, window: str = "30d", limit: int | None = 20
 ) -> DataFrame:
     """AGR-05 / SRT-04: risk per repository; repositories without findings stay."""
     sel = P.in_window(analyses, window, now).select(
@@ -61,14 +61,14 @@ def repository_analytics(
             F.max("created_at").alias("last_analysis_at"),
         )
     )
-    return out.orderBy(
+    return first_rows(out, [
         F.desc("critical_count"), F.desc("high_count"), F.desc("finding_count"), F.desc("analysis_count"),
         F.lower("repository_id"), "repository_id",
-    ).limit(P.clamp_limit(limit))
+    ], limit)
 
 
 def vulnerability_analytics(
-    analyses: DataFrame, findings: DataFrame, now: str, window: str = "30d", repository: str | None = None, limit: int = 20
+    analyses: DataFrame, findings: DataFrame, now: str, window: str = "30d", repository: str | None = None, limit: int | None = 20
 ) -> DataFrame:
     """AGR-04 / SRT-03: findings per category with severity columns."""
     sel = P.in_window(analyses, window, now)
@@ -88,14 +88,14 @@ def vulnerability_analytics(
         F.sum(n).cast("long").alias("finding_count"),
         *[F.sum(F.when(sev == s, n).otherwise(0)).cast("long").alias(f"{s}_count") for s in SEVERITIES],
     )
-    return out.orderBy(
+    return first_rows(out, [
         F.desc("finding_count"), F.desc("critical_count"), F.desc("high_count"), F.desc("medium_count"),
         F.lower("category"), "category",
-    ).limit(P.clamp_limit(limit))
+    ], limit)
 
 
 def developer_analytics(
-    analyses: DataFrame, now: str, window: str | None = None, repository: str | None = None, limit: int = 20
+    analyses: DataFrame, now: str, window: str | None = None, repository: str | None = None, limit: int | None = 20
 ) -> DataFrame:
     """AGR-06 / SRT-05: per author, sums of the stored summary counters
     (``finding_count`` and ``*_count`` columns), not of finding rows."""
@@ -113,10 +113,10 @@ def developer_analytics(
         F.array_join(F.sort_array(F.collect_set("_repo")), ",").alias("repositories"),
         F.max("created_at").alias("last_activity"),
     )
-    return out.orderBy(
+    return first_rows(out, [
         F.desc("critical_count"), F.desc("high_count"), F.desc("total_findings"), F.desc("total_analyses"),
         F.lower("developer"), "developer",
-    ).limit(P.clamp_limit(limit))
+    ], limit)
 
 
 def suppression_states(now: str) -> list[Column]:
@@ -188,6 +188,12 @@ def count_rows(df: DataFrame, *conditions: Column) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"))
 
 
+def first_rows(df: DataFrame, order: list, limit: int | None) -> DataFrame:
+    """All rows in order, or the first ``limit``."""
+    rows = df.orderBy(*order)
+    return rows if limit is None else rows.limit(limit)
+
+
 def page(df: DataFrame, order: list[Column], limit: int | None = 20, offset: int = 0, cap: int = 100) -> DataFrame:
     """SRC-01 / SRC-19 / SRT-01 / SRT-02: ordered page with clamped bounds."""
     return df.orderBy(*order).offset(max(0, int(offset))).limit(P.clamp_limit(limit, cap=cap))

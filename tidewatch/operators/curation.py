@@ -9,14 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
-from tidewatch.operators.ranking import beside, once, top_n
+from tidewatch.operators.ranking import beside, once, position_in_group, top_n
 
 # Supported weaknesses of curation and of extraction (the lists differ),
 # languages, the static fallback list and bounds.
 SUPPORTED = ["CWE-89", "CWE-78", "CWE-798", "CWE-22", "CWE-502", "CWE-79", "CWE-327", "CWE-306", "CWE-352", "CWE-434", "CWE-200", "CWE-476"]
 EXTRACTED = ["CWE-20", "CWE-22", "CWE-78", "CWE-79", "CWE-89", "CWE-94", "CWE-287", "CWE-352", "CWE-400", "CWE-502", "CWE-798", "CWE-918"]
 LANGUAGES = ["python", "javascript", "typescript"]
-FIX_LANGUAGES = ["python", "javascript", "typescript", "agnostic"]
 TOP_25 = [
     "CWE-79", "CWE-787", "CWE-89", "CWE-352", "CWE-22", "CWE-125", "CWE-78", "CWE-416", "CWE-862", "CWE-434", "CWE-94", "CWE-20",
     "CWE-77", "CWE-287", "CWE-269", "CWE-502", "CWE-200", "CWE-863", "CWE-918", "CWE-119", "CWE-476", "CWE-798", "CWE-190", "CWE-400", "CWE-306",
@@ -24,7 +23,6 @@ TOP_25 = [
 PREFERRED_VIEWS = ["1430", "1425"]
 MIN_VIEW_MEMBERS = 20
 MAX_CONTENT = 4000
-FIX_LIMIT = 100
 PER_STRATUM = 3
 MODERATE = (100, 3000)
 
@@ -117,19 +115,20 @@ def fix_rows(file_change, fixes, commits, cwe_classification, method_change) ->
     )
 
 
-def fix_documents(rows: DataFrame, limit: int = FIX_LIMIT) -> DataFrame:
-    """RNK-12 / FLT-21 / TXT-33: the first accepted rows by CVE and change, one per
-    (CVE, weakness, change, method), numbered in order. Deduplication is a grouped
-    minimum and the cut is a distributed top-k."""
+def fix_documents(rows: DataFrame, limit: int | None = None) -> DataFrame:
+    """RNK-12 / FLT-21 / TXT-33: accepted rows by CVE and change, one per (CVE,
+    weakness, change, method), numbered in order from 1; ``limit`` keeps the
+    first. Deduplication is a grouped minimum; numbers come from counts per
+    range of CVE ids, so no task holds all rows."""
     lang = F.lower(T.strip("programming_language"))
     ok = rows.withColumns({"lang": lang, "cwe": normalize_cwe("cwe_id"), "cve": T.text_or(F.upper(T.strip("cve_id")), "CVE-UNKNOWN"),
                            "method": F.coalesce("method_name", F.lit(""))})
-    ok = ok.filter(F.col("lang").isin(FIX_LANGUAGES) & F.col("cwe").isin(SUPPORTED))
+    ok = ok.filter(F.col("lang").isin(LANGUAGES) & F.col("cwe").isin(SUPPORTED))
     body = ["lang", "filename", "msg", "code_before", "code_after", "method_name", "method_code", "before_change"]
     first = ok.groupBy("cve", "cwe", "file_change_id", "method").agg(F.min(F.struct("cve_id", "hash", *body)).alias("b"))
     order = ["b.cve_id", "file_change_id", "b.hash", "cwe", "method"]
-    top = first.orderBy(*order).limit(min(limit, FIX_LIMIT))
-    top = top.withColumn("n", F.row_number().over(Window.orderBy(*order)))  # at most 100 rows
+    top = first if limit is None else first.orderBy(*order).limit(limit)
+    top = position_in_group(top, [], F.left(F.coalesce("b.cve_id", F.lit("")), F.lit(10)), [F.col(c) for c in order], "n").withColumn("n", F.col("n") + 1)
     text = lambda c: F.nullif(T.strip(F.col(f"b.{c}")), F.lit(""))
     fence = lambda label, c: F.concat(F.lit(f"```\n// {label}\n"), c, F.lit("\n```"))
     state = F.when(F.lower("b.before_change").isin("true", "1"), "Before Fix").otherwise("After Fix")
@@ -284,5 +283,5 @@ def weakness_documents(weaknesses: DataFrame, views: DataFrame, position: str) -
 def valid_metadata() -> Column:
     """Allow-listed metadata of curated documents; severity must stay empty."""
     return (
-        F.col("source").isin("mitre_cwe", "cisa_kev", "cvefixes") & F.col("cwe_id").startswith("CWE-") & F.col("language").isin(FIX_LANGUAGES)
+        F.col("source").isin("mitre_cwe", "cisa_kev", "cvefixes") & F.col("cwe_id").startswith("CWE-") & F.col("language").isin(LANGUAGES)
         & F.col("doc_type").isin("reference", "threat_intel", "remediation_example") & F.col("severity").isNull())

@@ -12,7 +12,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
 from tidewatch.operators.ranking import top_n
@@ -348,9 +347,3 @@ def explain_with(df: DataFrame, provider, schema: str) -> DataFrame:
     """UDF-01: pluggable provider hook; ``provider`` maps Arrow batches of
     findings to batches of answers."""
     return df.mapInPandas(provider, schema)
-
-
-def row_number_all(merged: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """RNK-01: 1-based ranks of the global top ``n``."""
-    top = merged.orderBy(*order).limit(n)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(*order)))

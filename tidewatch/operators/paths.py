@@ -5,10 +5,8 @@ from __future__ import annotations
 import fnmatch
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tidewatch.functions import text as T
 
@@ -27,7 +25,7 @@ EXTENSION_LANGUAGE = {
     ".java": "java", ".c": "c_cpp", ".h": "c_cpp", ".cpp": "c_cpp", ".hpp": "c_cpp", ".go": "go", ".rs": "rust",
     ".php": "php", ".rb": "ruby",
 }
-MAX_FILES, MAX_TOTAL_BYTES, MAX_FILE_BYTES, PROBE_BYTES = 500, 25_000_000, 1_000_000, 4096
+MAX_FILES, MAX_TOTAL_BYTES = 500, 25_000_000
 
 
 def slashes(path: str | Column) -> Column:
@@ -109,26 +107,21 @@ def limits(files: DataFrame) -> DataFrame:
         "over_limit", (F.col("files") > MAX_FILES) | (F.col("bytes") > MAX_TOTAL_BYTES))
 
 
-@F.pandas_udf(DoubleType())
-def non_text_share(chunk: pd.Series) -> pd.Series:
-    """TXT-35: share of non-text bytes in a leading chunk; 1.0 when it holds NUL."""
-    text = bytes(range(32, 127)) + b"\t\n\r"
+def non_text_share(content: Column) -> Column:
+    """TXT-35: share of non-text bytes; 1.0 when there is a NUL, 0.0 without bytes."""
+    as_text = F.decode(content, "ISO-8859-1")
+    odd = F.length(F.regexp_replace(as_text, r"[\t\n\r -~]", ""))
+    return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, 0.0).when(as_text.contains("\x00"), 1.0).otherwise(odd / F.octet_length(content))
 
-    def one(b: bytes | None) -> float:
-        if not b:
-            return 0.0
-        return 1.0 if b"\x00" in b else len(b.translate(None, text)) / len(b)
 
-    return chunk.map(one).astype(float)
-
-
-def read_sources(files: DataFrame) -> DataFrame:
-    """SRC-04: decode file bytes; oversized and binary files are marked skipped.
-    Expects (path, size, content)."""
-    probe = non_text_share(F.substring("content", 1, PROBE_BYTES))
-    out = files.withColumn("skip", F.when(F.col("size") > MAX_FILE_BYTES, "too_large"))
-    out = out.withColumn("skip", F.coalesce("skip", F.when(probe > 0.30, "binary")))
-    return out.withColumn("source", F.when(F.col("skip").isNull(), F.decode("content", "UTF-8")))
+def read_sources(files: DataFrame, max_bytes: int | None = None, probe_bytes: int | None = None) -> DataFrame:
+    """SRC-04: decode file bytes; ``skip`` says why a file is not read. Expects
+    (path, size, content). Bytes that are not UTF-8 become replacement
+    characters. All sizes and the whole content count unless bounds are given."""
+    probe = F.col("content") if probe_bytes is None else F.substring("content", 1, probe_bytes)
+    large = F.lit(None).cast("string") if max_bytes is None else F.when(F.col("size") > max_bytes, "too_large")
+    out = files.withColumn("skip", F.coalesce(large, F.when(non_text_share(probe) > 0.30, "binary")))
+    return out.withColumn("source", F.when(F.col("skip").isNull(), F.make_valid_utf8(F.col("content").cast("string"))))
 
 
 def scan_statistics(files: DataFrame) -> DataFrame:

@@ -45,7 +45,8 @@ def position_in_group(
     for i, k in enumerate(keys):
         part = F.col(k).eqNullSafe(F.col(f"_k{i}"))
         cond = part if cond is None else cond & part
-    cond = cond & F.col("_bucket").eqNullSafe(F.col("_kb"))
+    same_bucket = F.col("_bucket").eqNullSafe(F.col("_kb"))
+    cond = same_bucket if cond is None else cond & same_bucket
     joined = local.join(starts, cond)
     return joined.withColumn(name, (F.col("_pos") + F.col("_start")).cast("long")).drop(
         "_pos", "_start", "_bucket", "_kb", *[f"_k{i}" for i in range(len(keys))]

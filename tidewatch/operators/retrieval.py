@@ -261,11 +261,13 @@ def exact_curated(findings: DataFrame, catalog: DataFrame, position: str) -> Dat
 def curated_by_cwe_or_topic(findings: DataFrame, catalog: DataFrame, position: str) -> DataFrame:
     """JOI-18: the first catalog document that has the weakness id, or whose topic
     contains, or is contained in, the signal type. The either-way substring test
-    becomes two equi joins: every substring of a distinct signal is looked up
-    among topics, and every substring of a topic among signals."""
+    becomes two equi joins: every substring of a distinct signal, the empty one
+    too, is looked up among topics, and every substring of a topic among
+    signals. A document without a topic thus fits every signal."""
     sigs = findings.select("signal_type", "cwe_id").distinct()
     low = F.lower("signal_type")
-    cat = catalog.select(F.col(position).alias("pos"), "document_id", F.col("cwe_id").alias("c_cwe"), F.lower("security_topic").alias("topic"))
+    cat = catalog.groupBy(F.col("cwe_id").alias("c_cwe"), F.coalesce(F.lower("security_topic"), F.lit("")).alias("topic")).agg(
+        F.min(position).alias("pos"), F.min_by("document_id", position).alias("document_id"))
 
     def substrings(c: Column) -> Column:
         n = F.length(c)
@@ -274,7 +276,7 @@ def curated_by_cwe_or_topic(findings: DataFrame, catalog: DataFrame, position: s
             F.sequence(F.lit(1), F.greatest(n - s + 1, F.lit(1))), lambda m: F.substring(c, s, m)))))
 
     by_cwe = sigs.join(cat, F.col("cwe_id") == F.col("c_cwe")).select("signal_type", "cwe_id", "pos", "document_id")
-    inside = sigs.withColumn("part", F.explode(substrings(low))).join(cat, F.col("part") == F.col("topic")).select(
+    inside = sigs.withColumn("part", F.explode(F.array_distinct(F.concat(substrings(F.coalesce(low, F.lit(""))), F.array(F.lit("")))))).join(cat, F.col("part") == F.col("topic")).select(
         "signal_type", "cwe_id", "pos", "document_id")
     around = cat.withColumn("part", F.explode(substrings(F.col("topic")))).join(
         sigs.withColumn("low", low), F.col("part") == F.col("low")).select("signal_type", "cwe_id", "pos", "document_id")

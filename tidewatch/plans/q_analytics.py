@@ -67,7 +67,7 @@ def _(spark, d):
     return A.vulnerability_analytics(B.analyses(spark, d), B.findings(spark, d), NOW, "30d")
 
 
-@query("vulnerability_analytics_all", _vuln_sql("all", "TRUE", 100), ("analyses", "findings"))
+@query("vulnerability_analytics_all", _vuln_sql("all", "TRUE", 500), ("analyses", "findings"))
 def _(spark, d):
     return A.vulnerability_analytics(B.analyses(spark, d), B.findings(spark, d), NOW, "all", limit=500)
 

@@ -105,7 +105,7 @@ def _(spark, d):
     "cvefix_documents",
     FIXROWS + f"""SELECT 'knowledge_cvefixes_' || cve_id || '_' || cwe || '_' || row_number() OVER (ORDER BY cve_id, file_change_id, hash, cwe, method) AS document_id, lang AS language
      FROM (SELECT DISTINCT cve_id, cwe, file_change_id, method, hash, lang FROM r WHERE lang IN ('python', 'typescript') AND cwe IN ({', '.join(repr(x) for x in C.SUPPORTED)}))
-     ORDER BY cve_id, file_change_id, hash, cwe, method LIMIT 100""",
+""",
 )
 def _(spark, d):
     fixes, commits, fc, method, cwe, _, _ = star(spark, d)

@@ -112,8 +112,8 @@ def _fam(k, other):
     f""", f AS (SELECT *, CASE signal_type WHEN 'unsafe_database_execution' THEN 'CWE-89' WHEN 'command_execution_call' THEN 'CWE-78' WHEN 'path_traversal_call' THEN 'CWE-22'
           WHEN 'possible_hardcoded_secret' THEN 'CWE-798' WHEN 'weak_cryptography' THEN 'CWE-327' END AS cwe FROM findings)
     SELECT analysis_id, finding_id, title || ' detected in ''' || document_id || ''' at line ' || line || '.' AS summary,
-      {_fam(2, "'Static analysis identified a ' || category || ' signal (''' || signal_type || ''') that may expose the application to security risks if input is not validated.'")} AS why_it_matters,
-      {_fam(5, "'Ensure input boundaries are checked and operations are isolated.'")} AS safer_pattern,
+      {_fam(2, "'A ' || category || ' pattern was found (signal ''' || signal_type || '''). It matters if the values that reach it come from outside and are not checked.'")} AS why_it_matters,
+      {_fam(5, "'Let only checked values reach this operation.'")} AS safer_pattern,
       CASE WHEN cwe IS NULL THEN 'OWASP Top 10' ELSE 'OWASP / ' || cwe || ',' || cwe END AS refs FROM f""",
     ("findings",),
 )
@@ -125,7 +125,7 @@ def _(spark, d):
 
 @query(
     "explanation_validation",
-    """SELECT doc_id, left(sha256(CASE WHEN lang = 'en' THEN 'Doc identified during static security analysis.' WHEN length(t) > 300 THEN left(t, 300) || '...[truncated]' ELSE t END), 16) AS summary_h,
+    """SELECT doc_id, left(sha256(CASE WHEN lang = 'en' THEN 'Doc was found by a code rule.' WHEN length(t) > 300 THEN left(t, 300) || '...[truncated]' ELSE t END), 16) AS summary_h,
          CASE WHEN lang = 'en' THEN 'OWASP / CWE-1' ELSE 'a,b' END AS refs
        FROM (SELECT *, trim(regexp_replace(translate(text, '"\\', ''), '\\s+', ' ', 'g')) AS t FROM documents)""".replace("\\\\s", "\\s"),
 )

@@ -22,24 +22,30 @@ def micros(c="ts"):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
 
-CHAIN = f"""WITH RECURSIVE first AS (SELECT user_id, event_type, min(ts) AS t FROM events GROUP BY 1, 2),
-  chain AS (SELECT user_id, event_type, t FROM first
-    UNION ALL SELECT c.user_id, c.event_type, (SELECT min(e.ts) FROM events e WHERE e.user_id = c.user_id AND e.event_type = c.event_type AND e.ts >= c.t + INTERVAL {WEEK} SECOND)
+# every fiftieth user stands for a sender without delivery ids, whose events are never claimed
+CHAIN = f"""WITH RECURSIVE ev AS (SELECT CASE WHEN user_id % 50 = 0 THEN 'None' ELSE CAST(user_id AS VARCHAR) END AS delivery_id, ts FROM events),
+  chain AS (SELECT delivery_id, min(ts) AS t FROM ev WHERE delivery_id <> 'None' GROUP BY 1
+    UNION ALL SELECT c.delivery_id, (SELECT min(e.ts) FROM ev e WHERE e.delivery_id = c.delivery_id AND e.ts >= c.t + INTERVAL {WEEK} SECOND)
       FROM chain c WHERE c.t IS NOT NULL)"""
 
 
-@query("delivery_claims", CHAIN + " SELECT user_id, event_type, t AS accepted_at FROM chain WHERE t IS NOT NULL")
+def deliveries(events):
+    return events.select(F.when(F.col("user_id") % 50 == 0, "None").otherwise(F.col("user_id").cast("string")).alias("delivery_id"), "ts")
+
+
+@query("delivery_claims", CHAIN + " SELECT delivery_id, t AS accepted_at FROM chain WHERE t IS NOT NULL UNION ALL SELECT delivery_id, ts FROM ev WHERE delivery_id = 'None'")
 def _(spark, d):
-    return L.claim_batch(B.table(spark, d, "events"), ["user_id", "event_type"], "ts", WEEK, SPAN)
+    return L.claim_batch(deliveries(B.table(spark, d, "events")), ["delivery_id"], "ts", WEEK, L.claims_bypass("delivery_id"))
 
 
 @query(
     "delivery_claims_stream",
-    CHAIN + " SELECT user_id || '/' || event_type AS key, epoch_us(t) AS accepted_us FROM chain WHERE t IS NOT NULL",
+    CHAIN + " SELECT delivery_id AS key, epoch_us(t) AS accepted_us FROM chain WHERE t IS NOT NULL UNION ALL SELECT delivery_id, epoch_us(ts) FROM ev WHERE delivery_id = 'None'",
 )
 def _(spark, d):
-    e = stream(spark, d).select(F.concat(F.col("user_id").cast("string"), F.lit("/"), "event_type").alias("key"), micros().alias("ts_us"))
-    return L.run_to_table(L.claim_stream(e.filter(~L.claims_bypass("key")), WEEK), "claims")
+    e = deliveries(stream(spark, d)).select(F.col("delivery_id").alias("key"), micros().alias("ts_us"))
+    free = L.run_to_table(e.filter(L.claims_bypass("key")).withColumnRenamed("ts_us", "accepted_us"), "unclaimed")
+    return L.run_to_table(L.claim_stream(e.filter(~L.claims_bypass("key")), WEEK), "claims").unionByName(free)
 
 
 def lease_events(df):
@@ -84,7 +90,7 @@ PAYLOAD = """CASE event_type WHEN 'error' THEN '{broken' ELSE '{"action":"' || (
 )
 def _(spark, d):
     e = B.table(spark, d, "events")
-    first = L.claim_batch(e, ["user_id", "event_type"], "ts", SPAN * 2, SPAN)
+    first = L.claim_batch(e, ["user_id", "event_type"], "ts", SPAN * 2)
     t = F.col("event_type")
     act = F.when(t == "click", "Opened").when(t == "view", "closed").otherwise("synchronize")
     body = F.concat(F.lit('{"action":"'), act, F.lit('","repository":{"name":"r","owner":{"login":"o'), F.col("user_id").cast("string"),

@@ -29,10 +29,14 @@ def get_spark(app: str = "tidewatch", master: str | None = None, **conf: str) ->
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in
-    ``spark.checkpoint.dir``. Only where that is unset (tests) a local
-    temporary folder is taken, and the setting is filled in with it."""
+    ``spark.checkpoint.dir``. Where that is unset, a master with one
+    process (tests) gets a temporary folder, and the setting is filled in with
+    it; any other master is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tidewatch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return os.path.join(root, f"{purpose}-{uuid.uuid4().hex}") if "://" not in root else f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"

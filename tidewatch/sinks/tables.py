@@ -23,12 +23,34 @@ PROTECTED = ["ast_documents", "security_knowledge"]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, or None if nothing is stored there; what cannot be read fails."""
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        if e.getCondition() == "UNABLE_TO_INFER_SCHEMA" and _has_files(spark, path):
+            raise
         return None
 
 
+def _has_files(spark: SparkSession, path: str) -> bool:
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(path)
+    return not listed.select("path").limit(1).isEmpty()
+
+
+def layout(spark: SparkSession, path: str, buckets: int) -> int:
+    """The number of buckets the table was made with; a new table stores ``buckets``."""
+    side = f"{path.rstrip('/')}/_layout"
+    try:
+        return spark.read.schema("buckets int").json(side).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+    spark.range(1).select(F.lit(buckets).alias("buckets")).coalesce(1).write.json(side)
+    return buckets
+
+
 def _bucketed(df: DataFrame, keys: Sequence[str], buckets: int) -> DataFrame:
     return df.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
 
@@ -40,8 +62,8 @@ def _write(df: DataFrame, path: str) -> None:
 def replace(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> None:
     """SNK-01: idempotent replace: every stored row with one of the new keys goes,
     the new rows come in. Running it again changes nothing."""
-    new = _bucketed(df, keys, buckets)
     old = read_table(df.sparkSession, path)
+    new = _bucketed(df, keys, layout(df.sparkSession, path, buckets))
     if old is not None:
         touched = new.select(BUCKET).distinct()
         kept = old.join(touched, BUCKET, "left_semi").join(new.select(*keys).distinct(), list(keys), "left_anti")
@@ -55,10 +77,13 @@ def upsert(df: DataFrame, path: str, keys: Sequence[str], newest: Sequence[Colum
 
 
 def insert_missing(df: DataFrame, path: str, keys: Sequence[str], buckets: int = 64) -> DataFrame:
-    """SNK-05 / SNK-06 / JOI-21: add only rows whose key is not stored yet."""
+    """SNK-05 / SNK-06 / JOI-21: add only rows whose key is not stored yet; of
+    several new rows of a key the least comes in."""
     old = read_table(df.sparkSession, path)
+    sortable = [f.name for f in df.schema if f.dataType.typeName() != "map"]
+    df = top_n(df, list(keys), [F.col(c) for c in sortable], 1)
     fresh = df if old is None else df.join(old.select(*keys), list(keys), "left_anti")
-    _bucketed(fresh, keys, buckets).write.mode("append").partitionBy(BUCKET).parquet(path)
+    _bucketed(fresh, keys, layout(df.sparkSession, path, buckets)).write.mode("append").partitionBy(BUCKET).parquet(path)
     return fresh
 
 
@@ -68,7 +93,7 @@ def delete(spark: SparkSession, path: str, ids: DataFrame, keys: Sequence[str],
     old = read_table(spark, path)
     if old is None:
         return
-    gone = _bucketed(ids.select(*keys).distinct(), keys, buckets)
+    gone = _bucketed(ids.select(*keys).distinct(), keys, layout(spark, path, buckets))
     touched = [r[0] for r in gone.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
     kept = old.filter(F.col(BUCKET).isin(touched)).join(gone.select(*keys), list(keys), "left_anti")
     survivors = {r[0] for r in kept.select(BUCKET).distinct().collect()}

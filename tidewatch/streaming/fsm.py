@@ -35,24 +35,27 @@ def reservation(state, op, ts, ref, ttl):
 
 def dispatch(state, op, ts, ref, ttl, allow_unknown=False):
     """STR-05 / STR-06. ``state`` is None or (status, claim, attempts, reason, expiry).
-    A claim's fencing token is its attempt number; ``ref`` carries the token (or a
-    reason as ``token|reason``) of a later report, empty meaning any token."""
+    A claim's fencing token numbers all claims of the key, also over a release,
+    so no token comes twice; ``ref`` carries the token (or a reason as
+    ``token|reason``) of a later report, empty meaning any token."""
     token, _, reason = (ref or "").partition("|")
+    claims = int(state[1][1:] or 0) if state and state[1].startswith("c") else 0
+    free, state = state, (None if state and state[0] == "free" else state)
     fits = bool(state) and (token == "" or token == state[1])
     if op == "success":
         if not state:
             return ("sent", token, 1, "delivered", FOREVER), "sent"
         if state[0] == "sending" and fits:
             return ("sent", state[1], state[2], "delivered", FOREVER), "sent"
-        return state, "rejected"
+        return free, "rejected"
     if op in ("failure", "unknown"):
         if fits and state[0] != "sent":
             return ("failed" if op == "failure" else "unknown", state[1], state[2], reason or op, ts), op
-        return state, "rejected"
+        return free, "rejected"
     if op == "release":
-        return (None, "released") if state and state[0] == "sending" and fits else (state, "rejected")
+        return (("free", state[1], 0, "", ts), "released") if state and state[0] == "sending" and fits else (free, "rejected")
     if not state:
-        return ("sending", "c1", 1, "", lease_end(ts, ttl)), "claimed"
+        return ("sending", f"c{claims + 1}", 1, "", lease_end(ts, ttl)), "claimed"
     status, _, attempts, last, expiry = state
     if status == "sent":
         return state, "already_sent"
@@ -64,4 +67,4 @@ def dispatch(state, op, ts, ref, ttl, allow_unknown=False):
         return state, "ambiguous_delivery_held"
     if attempts >= MAX_ATTEMPTS:
         return state, "max_attempts_exceeded"
-    return ("sending", f"c{attempts + 1}", attempts + 1, "", lease_end(ts, ttl)), "claimed"
+    return ("sending", f"c{claims + 1}", attempts + 1, "", lease_end(ts, ttl)), "claimed"

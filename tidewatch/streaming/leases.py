@@ -23,27 +23,36 @@ def claims_bypass(key: str) -> Column:
     return k.isin(list(fsm.NO_DELIVERY))
 
 
-def claim_batch(events: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: int, span_seconds: int) -> DataFrame:
+def claim_batch(events: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: int, bypass: Column | None = None) -> DataFrame:
     """STR-01 over a finished table: the accepted (key, time) pairs.
 
     The first event of a key is accepted; the next is the first one at least TTL
     later, and so on. Each round finds the next acceptance of every key by a
-    filtered grouped minimum, so a key of any size is pre-aggregated in parallel.
-    ``span_seconds`` bounds the time range, hence the number of rounds; lineage is
-    cut with ``checkpoint`` when there are many rounds."""
-    rounds = span_seconds // ttl_seconds + 1
-    rows = events.select(*keys, F.col(ts).alias("_ts"))
-    last = rows.groupBy(*keys).agg(F.min("_ts").alias("accepted_at"))
-    found = last
-    for i in range(1, int(rounds)):
-        cut = F.col("accepted_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
-        nxt = rows.join(last, list(keys)).filter(F.col("_ts") >= cut)
-        last = nxt.groupBy(*keys).agg(F.min("_ts").alias("accepted_at"))
-        if i % _BATCH_ROUNDS == 0:
-            _ensure_checkpoint_dir(events.sparkSession)
-            last = last.checkpoint()
-        found = found.unionByName(last)
-    return found
+    filtered grouped minimum, so a key of any size is pre-aggregated in parallel,
+    and leaves the events before it behind. Rounds go on until no event is left;
+    every few rounds what remains is cut off with ``checkpoint``. Rows that
+    ``bypass`` marks are all accepted and claim nothing."""
+    skip = F.lit(False) if bypass is None else bypass
+    all_rows = events.select(*keys, F.col(ts).alias("_ts"), skip.alias("_skip"))
+    found = all_rows.filter("_skip").select(*keys, F.col("_ts").alias("accepted_at"))
+    rows = all_rows.filter(~F.col("_skip")).drop("_skip")
+    cut = F.col("accepted_at") + F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
+    _ensure_checkpoint_dir(events.sparkSession)
+    while True:
+        for _ in range(_BATCH_ROUNDS):
+            first = rows.groupBy(*keys).agg(F.min("_ts").alias("accepted_at"))
+            found = found.unionByName(first)
+            rows = rows.join(first, list(keys)).filter(F.col("_ts") >= cut).drop("accepted_at")
+        rows = rows.checkpoint()
+        if rows.isEmpty():
+            return found
+
+
+def release_claims(claims: DataFrame, released: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """STR-02: claims whose key was not released since (``released``: keys and released_at)."""
+    last = released.groupBy(*keys).agg(F.max("released_at").alias("_at"))
+    kept = claims.join(last, list(keys), "left").filter(F.col("_at").isNull() | (F.col("accepted_at") > F.col("_at")))
+    return kept.drop("_at")
 
 
 def _ensure_checkpoint_dir(spark: SparkSession) -> None:
