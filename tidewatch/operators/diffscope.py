@@ -7,10 +7,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tidewatch.functions import text as T
 from tidewatch.operators.intervals import containing
+from tidewatch.operators.ranking import once
 
 # The hunk header and the line separators.
 HUNK = r"^@@\s+-(\d+)(?:,(\d+))?\s+\+(\d+)(?:,(\d+))?\s+@@"
@@ -20,82 +20,71 @@ SECRET_WORDS = ["jwt_secret", "api_key", "password", "secret"]
 MODULE = "<module>"
 
 
-def lines_of(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """One row per text line (``pos`` from 0); a final line break opens no line."""
+def text_lines(text: str) -> Column:
+    """The lines of a text; a final line break opens no line, no text has none."""
     arr = F.split(F.col(text), LINE_BREAK)
     arr = F.when(F.element_at(arr, -1) == "", F.slice(arr, 1, F.size(arr) - 1)).otherwise(arr)
-    return df.filter(F.length(text) > 0).select(*keep, F.posexplode(arr).alias("pos", "content"))
+    return F.when(F.length(text) > 0, arr).otherwise(F.array().cast("array<string>"))
 
 
-def diff_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch") -> DataFrame:
-    """TXT-32 / RNK-13 / RNK-14: every line of a hunk with its old and new number.
+def lines_of(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """One row per text line (``pos`` from 0)."""
+    return df.filter(F.length(text) > 0).select(*keep, F.posexplode(text_lines(text)).alias("pos", "content"))
 
-    A header or a file marker starts a segment (gaps and islands); inside a
-    segment the numbers are running counts added to the header's start. The
-    windows never span more than the lines of one patch."""
-    rows = lines_of(patches, text, [key])
-    c = F.col("content")
-    header = c.startswith("@@") & c.rlike(HUNK)
-    closer = c.startswith("+++") | c.startswith("---") | c.startswith("diff ") | c.startswith("index ")
-    order = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    num = lambda g: F.when(header, F.nullif(F.regexp_extract(c, HUNK, g), F.lit(""))).cast("long")
-    rows = rows.withColumns({
-        "is_header": header,
-        "segment": F.count_if(header | closer).over(order),
-        "old_start": num(1),
-        "new_start": num(3),
-        "new_count": F.when(header, F.coalesce(num(4), F.lit(1))),
-    })
-    seg = Window.partitionBy(key, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(key, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    plus = c.startswith("+") & (F.first("new_count").over(seg) > 0)
-    minus = c.startswith("-")
-    context = ~c.startswith("+") & ~minus & ~c.startswith("\\") & ~F.col("is_header")
-    step_new = (plus | context).cast("long")
-    step_old = (minus | context).cast("long")
-    rows = rows.withColumns({
-        "kind": F.when(F.col("is_header"), "header").when(plus, "added").when(minus, "deleted").when(context, "context").otherwise("other"),
-        "in_hunk": F.first("is_header").over(seg),
-        "step_new": F.when(F.col("is_header"), 0).otherwise(step_new),
-        "step_old": F.when(F.col("is_header"), 0).otherwise(step_old),
-    }).filter("in_hunk")
-    rows = rows.withColumns({
-        "new_line": F.first("new_start").over(seg) + F.coalesce(F.sum("step_new").over(before), F.lit(0)),
-        "old_line": F.first("old_start").over(seg) + F.coalesce(F.sum("step_old").over(before), F.lit(0)),
-    })
-    return rows.select(key, "pos", "segment", "kind", "new_line", "old_line", "step_new")
 
+_LINE = "struct<segment:bigint,kind:string,new_line:bigint,old_line:bigint,step_new:bigint>"
 
-def changed_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch") -> DataFrame:
-    """AST-30 / SET-08: distinct (diff, kind, line) with kinds added, deleted and
-    affected. Affected are the added lines; a pure deletion is anchored at the
-    last new-file position reached."""
-    rows = diff_lines(patches, key, text)
-    # the totals use the partitioning the numbering already made: still one shuffle
-    whole = Window.partitionBy(key)
-    kind = F.col("kind")
-    rows = rows.withColumns({
-        "_a": F.count_if(kind == "added").over(whole),
-        "_d": F.count_if(kind == "deleted").over(whole),
-        "_last": F.max("pos").over(whole) == F.col("pos"),
-    })
-    mark = lambda k, line: F.struct(F.lit(k).alias("kind"), line.alias("line"))
-    none = F.array().cast("array<struct<kind:string,line:bigint>>")
-    own = (
-        F.when(kind == "added", F.array(mark("added", F.col("new_line")), mark("affected", F.col("new_line"))))
-        .when(kind == "deleted", F.array(mark("deleted", F.col("old_line"))))
-        .otherwise(none)
-    )
-    end = F.greatest(F.lit(1).cast("long"), F.col("new_line") + F.col("step_new"))
-    anchor = F.when(F.col("_last") & (F.col("_a") == 0) & (F.col("_d") > 0), F.array(mark("affected", end))).otherwise(none)
-    return rows.select(key, F.explode(F.concat(own, anchor)).alias("_m")).select(key, "_m.kind", "_m.line").distinct()
+
+def hunk_lines(text: str = "patch") -> Column:
+    """TXT-32 / RNK-13 / RNK-14: every line of a hunk with its old and new number.
+
+    One fold over the patch's own lines: a header sets both counters and opens a
+    hunk, a file marker closes it, and every other line of a hunk moves the
+    counter of each side it is on. Nothing leaves the row."""
+    number = lambda c, g: F.nullif(F.regexp_extract(c, HUNK, g), F.lit("")).cast("long")
+    zero = F.lit(0).cast("long")
+
+    def step(a: Column, c: Column) -> Column:
+        header = c.startswith("@@") & c.rlike(HUNK)
+        marker = c.startswith("+++") | c.startswith("---") | c.startswith("diff ") | c.startswith("index ")
+        plus = c.startswith("+") & (a["room"] > 0)
+        minus = c.startswith("-")
+        both = ~c.startswith("+") & ~minus & ~c.startswith("\\")
+        line = F.struct(
+            a["segment"].alias("segment"), F.when(plus, "added").when(minus, "deleted").when(both, "context").otherwise("other").alias("kind"),
+            a["new"].alias("new_line"), a["old"].alias("old_line"), (plus | both).cast("long").alias("step_new"))
+        opening = F.struct((a["segment"] + 1).alias("segment"), F.lit("header").alias("kind"), number(c, 3).alias("new_line"), number(c, 1).alias("old_line"), zero.alias("step_new"))
+        inside = F.struct(
+            F.lit(True).alias("open"), a["segment"].alias("segment"), (a["new"] + (plus | both).cast("long")).alias("new"),
+            (a["old"] + (minus | both).cast("long")).alias("old"), a["room"].alias("room"), F.concat(a["lines"], F.array(line.cast(_LINE))).alias("lines"))
+        opened = F.struct(
+            F.lit(True).alias("open"), (a["segment"] + 1).alias("segment"), number(c, 3).alias("new"), number(c, 1).alias("old"),
+            F.coalesce(number(c, 4), F.lit(1).cast("long")).alias("room"), F.concat(a["lines"], F.array(opening.cast(_LINE))).alias("lines"))
+        closed = F.struct(F.lit(False).alias("open"), (a["segment"] + 1).alias("segment"), a["new"].alias("new"), a["old"].alias("old"), a["room"].alias("room"), a["lines"].alias("lines"))
+        return F.when(header, opened).when(marker, closed).when(a["open"], inside).otherwise(a)
+
+    start = F.struct(F.lit(False).alias("open"), zero.alias("segment"), zero.alias("new"), zero.alias("old"), zero.alias("room"), F.array().cast(f"array<{_LINE}>").alias("lines"))
+    return F.aggregate(text_lines(text), start, step, lambda a: a["lines"])
 
 
 def changed_lines_arrays(patches: DataFrame, key: str = "diff_id", text: str = "patch") -> DataFrame:
-    """The same as one row of sorted arrays per patch."""
-    rows = changed_lines(patches, key, text)
-    pick = lambda k: F.array_sort(F.collect_list(F.when(F.col("kind") == k, F.col("line")))).alias(f"{k}_lines")
-    return rows.groupBy(key).agg(pick("added"), pick("deleted"), pick("affected"))
+    """AST-30 / SET-08: sorted distinct added, deleted and affected lines of each
+    patch that has any. Affected are the added lines; a pure deletion is
+    anchored at the last new-file position reached."""
+    rows = once(patches.select(key, text), "_l", hunk_lines(text))
+    pick = lambda kind, field: F.array_sort(F.array_distinct(F.transform(F.filter("_l", lambda x: x["kind"] == kind), lambda x: x[field])))
+    rows = rows.withColumns({"added_lines": pick("added", "new_line"), "deleted_lines": pick("deleted", "old_line")})
+    last = F.element_at("_l", -1)
+    anchor = F.array(F.greatest(F.lit(1).cast("long"), last["new_line"] + last["step_new"]))
+    affected = F.when(F.size("added_lines") > 0, F.col("added_lines")).when(F.size("deleted_lines") > 0, anchor).otherwise(F.col("added_lines"))
+    return rows.withColumn("affected_lines", affected).filter("size(affected_lines) > 0").select(key, "added_lines", "deleted_lines", "affected_lines")
+
+
+def changed_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch") -> DataFrame:
+    """The same as (key, kind, line) rows; no shuffle, one patch is one row."""
+    arrays = changed_lines_arrays(patches, key, text)
+    marks = lambda kind: F.transform(f"{kind}_lines", lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("line")))
+    return arrays.select(key, F.explode(F.concat(*[marks(k) for k in ("added", "deleted", "affected")])).alias("_m")).select(key, "_m.kind", "_m.line")
 
 
 def scoped_lines(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
