@@ -30,6 +30,12 @@ def test_diff(rows):
         assert [sorted(got.get((i, k), [])) for k in ("added", "deleted", "affected")] == want, patch
 
 
+def test_diffs_are_read_inside_their_row(rows):
+    long = "@@ -1,3000 +1,3000 @@\n" + "\n".join(f"+line {i}" for i in range(3000))
+    df = X.changed_lines(rows([(1, long), (2, None), (3, "")], "diff_id int, patch string"))
+    assert df.filter("kind = 'added'").count() == 3000 and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_intervals_equal_brute_force(rows):
     rnd = random.Random(3)
     iv = [(i, "k" if i % 3 else "h", s := rnd.randrange(1, 3000), s + rnd.choice([0, 1, 5, 60, 900])) for i in range(150)]
@@ -37,6 +43,9 @@ def test_intervals_equal_brute_force(rows):
     got = I.containing(rows(pt, "p int, f string, line int"), rows(iv, "i int, f string, s int, e int"), ["f"], "line", "s", "e").select("p", "i").collect()
     want = [(p, i) for (p, pf, x), (i, f, s, e) in itertools.product(pt, iv) if pf == f and s <= x <= e]
     assert sorted(map(tuple, got)) == sorted(want)
+    for top in (1, I.LINES_TOP):
+        few = I.containing(rows(pt, "p int, f string, line int"), rows(iv, "i int, f string, s int, e int"), ["f"], "line", "s", "e", top=top).select("p", "i")
+        assert sorted(map(tuple, few.collect())) == sorted(want)
 
 
 def test_scopes(rows):

@@ -110,13 +110,17 @@ def developer_analytics(
         F.sum(F.coalesce("finding_count", F.lit(0))).alias("total_findings"),
         *[F.sum(F.coalesce(f"{s}_count", F.lit(0))).alias(f"{s}_count") for s in SEVERITIES[:4]],
         *[F.count_if(gate == g).alias(f"{g}_count") for g in ("block", "review", "allow")],
-        F.array_join(F.sort_array(F.collect_set("_repo")), ",").alias("repositories"),
         F.max("created_at").alias("last_activity"),
     )
-    return first_rows(out, [
+    order = [
         F.desc("critical_count"), F.desc("high_count"), F.desc("total_findings"), F.desc("total_analyses"),
         F.lower("developer"), "developer",
-    ], limit)
+    ]
+    top = first_rows(out, order, limit)
+    # repositories are gathered for the developers that are shown only
+    pairs = sel.select("developer", "_repo").filter("_repo IS NOT NULL").join(top.select("developer"), "developer", "left_semi").distinct()
+    repos = pairs.groupBy("developer").agg(F.array_join(F.sort_array(F.collect_list("_repo")), ",").alias("repositories"))
+    return top.join(repos, "developer", "left").withColumn("repositories", F.coalesce("repositories", F.lit(""))).orderBy(*order)
 
 
 def suppression_states(now: str) -> list[Column]:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators.intervals import containing
+from tidewatch.operators.intervals import LINES_TOP, containing
 from tidewatch.operators.ranking import once
 
 # The hunk header and the line separators.
@@ -91,7 +91,7 @@ def scoped_lines(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) ->
     """JOI-11 / RNK-06: every changed line with its innermost function (shortest
     span, then latest start); NULL outside all functions. A grouped minimum over
     an outer join, so no window spans a file and the lines are read once."""
-    hits = containing(lines, functions, keys, "line", "start_line", "end_line", how="left")
+    hits = containing(lines, functions, keys, "line", "start_line", "end_line", how="left", top=LINES_TOP)
     f = F.struct("name", "class_name", "start_line", "end_line")
     order = F.when(F.col("start_line").isNotNull(), F.struct(
         F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("name"), F.col("class_name")))
@@ -131,7 +131,7 @@ def filter_to_diff(findings: DataFrame, scopes: DataFrame, lines: DataFrame, key
     # a changed line is an interval of length one: one join answers both rules
     spans = scopes.filter("scope_type <> 'module'").select(*keys, F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
     spans = spans.unionByName(lines.select(*keys, F.col("line").alias("_s"), F.col("line").alias("_e")))
-    ok = containing(at, spans, keys, "line", "_s", "_e").select(*keys, F.col("line").cast(kind).alias("line")).distinct().withColumn("_ok", F.lit(True))
+    ok = containing(at, spans, keys, "line", "_s", "_e", top=LINES_TOP).select(*keys, F.col("line").cast(kind).alias("line")).distinct().withColumn("_ok", F.lit(True))
     rows = findings.join(touched, list(keys), "left").join(ok, [*keys, "line"], "left")
     return rows.filter("_touched IS NULL OR line IS NULL OR _ok").drop("_touched", "_ok")
 

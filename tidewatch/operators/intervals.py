@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP = 11  # highest level; blocks there cover 4**11 positions, repeated as often as needed
+#: For lines of source files: blocks of up to 1,024 lines; longer spans take several.
+LINES_TOP = 5
 
 
 def _run(lo: str, hi: str) -> str:
@@ -21,7 +23,7 @@ def _run(lo: str, hi: str) -> str:
     return f"CASE WHEN {lo} <= {hi} THEN sequence({lo}, {hi}) ELSE CAST(array() AS array<bigint>) END"
 
 
-def _blocks(start: str, end: str) -> Column:
+def _blocks(start: str, end: str, top: int) -> Column:
     """Aligned blocks that make up start..end: at each level those inside the
     interval whose parent block is not inside it."""
     s, e = f"CAST({start} AS BIGINT)", f"CAST({end} AS BIGINT)"
@@ -30,20 +32,21 @@ def _blocks(start: str, end: str) -> Column:
     plo = f"shiftright({s} + shiftleft(1L, 2 * l + 2) - 1, 2 * l + 2)"
     phi = f"(shiftright({e} + 1, 2 * l + 2) - 1)"
     ids = (
-        f"CASE WHEN l < {TOP} AND {plo} <= {phi} THEN concat({_run(lo, f'{plo} * 4 - 1')}, {_run(f'{phi} * 4 + 4', hi)}) "
+        f"CASE WHEN l < {top} AND {plo} <= {phi} THEN concat({_run(lo, f'{plo} * 4 - 1')}, {_run(f'{phi} * 4 + 4', hi)}) "
         f"ELSE {_run(lo, hi)} END"
     )
-    return F.expr(f"flatten(transform(sequence(0, {TOP}), l -> transform({ids}, b -> struct(l AS level, b AS block))))")
+    return F.expr(f"flatten(transform(sequence(0, {top}), l -> transform({ids}, b -> struct(l AS level, b AS block))))")
 
 
 def containing(
-    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, how: str = "inner"
+    points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str, how: str = "inner", top: int = TOP
 ) -> DataFrame:
     """Join points with every interval of the same key that contains them. With
     ``how="left"`` a point also appears once per level it found nothing at, with
-    empty interval columns."""
-    at = F.expr(f"transform(sequence(0, {TOP}), l -> struct(l AS level, shiftright(CAST({point} AS BIGINT), 2 * l) AS block))")
+    empty interval columns. ``top`` is the highest level: fewer levels make fewer
+    copies of a point and more blocks of a very long interval."""
+    at = F.expr(f"transform(sequence(0, {top}), l -> struct(l AS level, shiftright(CAST({point} AS BIGINT), 2 * l) AS block))")
     p = points.select("*", F.explode(at).alias("_at")).select("*", F.col("_at.level").alias("_level"), F.col("_at.block").alias("_block")).drop("_at")
-    i = intervals.filter(F.col(start) <= F.col(end)).select("*", F.explode_outer(_blocks(start, end)).alias("_in")).select(
+    i = intervals.filter(F.col(start) <= F.col(end)).select("*", F.explode_outer(_blocks(start, end, top)).alias("_in")).select(
         "*", F.col("_in.level").alias("_level"), F.col("_in.block").alias("_block")).drop("_in")
     return p.join(i, [*keys, "_level", "_block"], how).drop("_level", "_block")
