@@ -65,5 +65,31 @@ QUERIES = {f.__name__: f for f in (
     op1_bootstrapped_pii, op2_automaton_decontamination, op3_compression_bands, op4_warc_round_trip, op5_prefix_bpe,
     op6_bounded_ring, op7_subword_quality, op8_template_lines, op9_odd_sketches, op10_output_codes)}
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP2 = f"""WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
+  b AS (SELECT item_id, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0),
+  iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[i:i + n - 1], ' ') AS win FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS i FROM b)),
+  dw AS (SELECT doc_id, i, n, array_to_string(ws[i:i + n - 1], ' ') AS win
+         FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM b) WHERE len(ws) >= n)),
+  hit AS (SELECT doc_id, i, n, item_id FROM dw JOIN iw USING (n, win)),
+  words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+  items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY 1)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""
+
+_OP4 = """SELECT page_id, n AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest, CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first < page_id THEN first END AS refers_to
+FROM (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY html) END AS first FROM (SELECT *, octet_length(encode(coalesce(html, ''))) AS n FROM pages))"""
+
+_OP9 = rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+  s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) = 1 THEN ws ELSE [ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))] END) AS x FROM w WHERE len(ws) > 0),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * shared >= 80 * (na.n + nb.n - shared)),
+  r AS (SELECT doc_id AS a, doc_id AS b FROM w UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT r.a AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a"""
+
 #: DuckDB SQL by query name.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_automaton_decontamination": _OP2, "op4_warc_round_trip": _OP4, "op9_odd_sketches": _OP9}
