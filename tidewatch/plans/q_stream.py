@@ -63,12 +63,50 @@ def dispatch_events(df):
                      micros().alias("ts_us"), ref.alias("ref"))
 
 
-@query("reservation_fsm")
+RESERVATIONS = """WITH RECURSIVE ev AS (
+    SELECT CAST(user_id AS VARCHAR) AS key, event_id, CASE event_type WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'release' ELSE 'reserve' END AS op, epoch_us(ts) AS t,
+      CASE WHEN event_type = 'purchase' THEN 'a' || event_id ELSE '' END AS ref, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  st AS (
+    SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS event_id, '' AS op, '' AS result, 'none' AS status, '' AS analysis, CAST(0 AS BIGINT) AS expiry FROM ev
+    UNION ALL
+    SELECT key, rn, event_id, op, result,
+      CASE result WHEN 'completed' THEN 'completed' WHEN 'released' THEN 'none' WHEN 'reserved' THEN 'in_progress' ELSE status END,
+      CASE result WHEN 'completed' THEN coalesce(nullif(ref, ''), analysis) WHEN 'released' THEN '' WHEN 'reserved' THEN '' ELSE analysis END,
+      CASE result WHEN 'reserved' THEN t + 3600000000 ELSE expiry END
+    FROM (SELECT e.*, s.status, s.analysis, s.expiry,
+        CASE WHEN e.op = 'complete' THEN 'completed' WHEN e.op = 'release' THEN CASE s.status WHEN 'in_progress' THEN 'released' ELSE 'noop' END
+          WHEN s.status = 'completed' AND s.analysis <> '' THEN 'already_completed' WHEN s.status = 'in_progress' AND e.t < s.expiry THEN 'in_progress' ELSE 'reserved' END AS result
+      FROM st s JOIN ev e ON e.key = s.key AND e.rn = s.rn + 1))
+  SELECT key, event_id, op, result FROM st WHERE rn > 0"""
+
+
+@query("reservation_fsm", RESERVATIONS)
 def _(spark, d):
     return L.run_to_table(L.reservation_stream(lease_events(stream(spark, d)), 3600), "reservations")
 
 
-@query("dispatch_fsm")
+DISPATCHES = """WITH RECURSIVE ev AS (
+    SELECT user_id || ':' || CAST(ts AS DATE) AS key, event_id, CASE event_type WHEN 'purchase' THEN 'failure' WHEN 'error' THEN 'unknown' WHEN 'signup' THEN 'success' ELSE 'claim' END AS op,
+      epoch_us(ts) AS t, CASE WHEN event_type <> 'purchase' THEN 'unknown' WHEN value > 450 THEN 'http_400' ELSE 'http_500' END AS why,
+      row_number() OVER (PARTITION BY user_id, CAST(ts AS DATE) ORDER BY ts, event_id) AS rn FROM events),
+  st AS (
+    SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS event_id, '' AS op, '' AS result, 'none' AS status, 0 AS attempts, '' AS reason, CAST(0 AS BIGINT) AS expiry FROM ev
+    UNION ALL
+    SELECT key, rn, event_id, op, result,
+      CASE result WHEN 'sent' THEN 'sent' WHEN 'failure' THEN 'failed' WHEN 'unknown' THEN 'unknown' WHEN 'claimed' THEN 'sending' ELSE status END,
+      CASE WHEN result = 'claimed' THEN attempts + 1 WHEN result = 'sent' AND status = 'none' THEN 1 ELSE attempts END,
+      CASE WHEN result IN ('failure', 'unknown') THEN why ELSE reason END, CASE result WHEN 'claimed' THEN t + 3600000000 ELSE expiry END
+    FROM (SELECT e.*, s.status, s.attempts, s.reason, s.expiry,
+        CASE WHEN e.op = 'success' THEN CASE WHEN s.status IN ('none', 'sending') THEN 'sent' ELSE 'rejected' END
+          WHEN e.op IN ('failure', 'unknown') THEN CASE WHEN s.status IN ('none', 'sent') THEN 'rejected' ELSE e.op END
+          WHEN s.status = 'none' THEN 'claimed' WHEN s.status = 'sent' THEN 'already_sent' WHEN s.status = 'sending' AND e.t < s.expiry THEN 'in_progress'
+          WHEN s.status = 'failed' AND s.reason IN ('http_400') THEN 'terminal_failure' WHEN s.status = 'unknown' THEN 'ambiguous_delivery_held'
+          WHEN s.attempts >= 3 THEN 'max_attempts_exceeded' ELSE 'claimed' END AS result
+      FROM st s JOIN ev e ON e.key = s.key AND e.rn = s.rn + 1))
+  SELECT key, event_id, op, result FROM st WHERE rn > 0"""
+
+
+@query("dispatch_fsm", DISPATCHES)
 def _(spark, d):
     return L.run_to_table(L.dispatch_stream(dispatch_events(stream(spark, d)), 3600), "dispatches")
 
