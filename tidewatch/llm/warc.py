@@ -26,6 +26,8 @@ LEAST_REVISIT = 100
 #: A writer starts the next file after this many compressed bytes.
 ROLL_BYTES = 64 << 20
 READ_BYTES = 1 << 20
+#: Archives are dealt over so many tasks at most; a task reads one after the other.
+MAX_READ_TASKS = 50_000
 DATE = "2026-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ID = "urn:x-page:"
@@ -195,7 +197,8 @@ def read_archives(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if seen != expected:
                     raise WarcError(f"{path}: {seen} records instead of {expected}")
 
-    return manifest.repartition(F.col("path")).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
+    tasks = max(1, min(MAX_READ_TASKS, manifest.count()))  # a number, else small manifests would be read by one task
+    return manifest.repartition(tasks, "path").mapInArrow(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * payloads)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
