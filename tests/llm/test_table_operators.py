@@ -250,7 +250,7 @@ def test_odd_sketch_estimates(spark, n):
     import numpy as np
     rng, rows = np.random.default_rng(n), []
     for j in [0.8] * 300 + [0.5] * 50:
-        common = round(2 * n * j / (1 + j))
+        common = int(-(-2 * n * j // (1 + j)))
         pool = rng.integers(0, 1 << 63, 2 * n - common, dtype=np.uint64) * np.uint64(2)
         (ka, a), (kb, b) = (neardup.odd_sketch(np.unique(s)) for s in (pool[:n], np.concatenate((pool[:common], pool[n:]))))
         rows.append((j, {"n": n, "samples": ka, "sketch": a.tolist()}, {"n": n, "samples": kb, "sketch": b.tolist()}))
