@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -201,3 +203,18 @@ def first_rows(df: DataFrame, order: list, limit: int | None) -> DataFrame:
 def page(df: DataFrame, order: list[Column], limit: int | None = 20, offset: int = 0, cap: int = 100) -> DataFrame:
     """SRC-01 / SRC-19 / SRT-01 / SRT-02: ordered page with clamped bounds."""
     return df.orderBy(*order).offset(max(0, int(offset))).limit(P.clamp_limit(limit, cap=cap))
+
+
+def latest_completed(analyses: DataFrame, keys: Sequence[str], done: Sequence[str] = ("completed",)) -> DataFrame:
+    """RNK-09: of every key the latest completed analysis, ties by the larger id.
+    A grouped maximum, so a key with very many analyses is reduced before the shuffle."""
+    rows = analyses.filter(F.lower("status").isin(*done))
+    return rows.groupBy(*keys).agg(F.max(F.struct("created_at", "analysis_id")).alias("_m")).select(*keys, "_m.analysis_id", "_m.created_at")
+
+
+def analysis_detail(analyses: DataFrame, findings: DataFrame, analysis_id: int) -> DataFrame:
+    """SRC-02: one analysis with its findings, one row each (one row without a
+    finding if there is none). The id is a literal and reaches both scans."""
+    one = analyses.filter(F.col("analysis_id") == analysis_id)
+    own = findings.filter(F.col("analysis_id") == analysis_id)
+    return one.join(own, "analysis_id", "left")
