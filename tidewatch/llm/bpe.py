@@ -14,7 +14,6 @@ import re
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidewatch.llm.common import Memo, by_slices
 
@@ -34,7 +33,7 @@ class Vocabulary:
         self._left: dict[int, tuple] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.shift = max(ranks.values()).bit_length()
-        self.pairs = Memo(self._fits, 400_000)
+        self.pairs = Memo(self._fits, 200_000)
         #: Only tokens that their own bytes encode to can occur.
         self.valid = {b: r for b, r in ranks.items() if self.alone(r)}
         #: Length of the longest token that ends in these three bytes; all others have at most two.
@@ -135,8 +134,8 @@ class Encoder:
         self.vocab = Vocabulary.load(path)
         self.full = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.plain = re.compile(ASCII_PATTERN)
-        self.pieces = Memo(self._piece, 300_000)
-        self.stems = Memo(self._stem, 60_000)
+        self.pieces = Memo(self._piece, 200_000)
+        self.stems = Memo(self._stem, 30_000)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
@@ -223,6 +222,18 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def verified(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """``docs`` plus ids, n_tokens and intact (the ids decode to the text's bytes)."""
-    both = decode(encode(docs, path, pattern), path, pattern)
-    return both.withColumns({"n_tokens": F.size("ids").cast("long"), "intact": F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")}).drop("decoded")
+    """``docs`` plus ids, n_tokens and intact (the ids decode to the text's
+    bytes). One pass and one encoder per worker."""
+    added = ("ids", "n_tokens", "intact")
+    names = [c for c in docs.columns if c not in added]
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name not in added)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        enc = encoder(path, pattern)
+        texts = batch.column("text").to_pylist()
+        ids = [enc.encode(t) for t in texts]
+        intact = [enc.decode(i) == (t or "").encode("utf-8", "surrogatepass") for i, t in zip(ids, texts)]
+        return pa.RecordBatch.from_arrays(
+            [*(batch.column(c) for c in names), pa.array(ids, pa.list_(pa.int32())), pa.array(list(map(len, ids)), pa.int64()), pa.array(intact, pa.bool_())], names=[*names, *added])
+
+    return docs.select(*[f"`{c}`" for c in names]).mapInArrow(by_slices(run, 64), f"{ddl}, ids array<int>, n_tokens long, intact boolean")
