@@ -129,6 +129,20 @@ def test_bands(spark):
     assert quality_bands.measure(" ".join(f"{'ab' * 30}{i:03d}" for i in range(400)), __import__("zstandard").ZstdCompressor(level=3))[-1] == "repetitive"
 
 
+def test_noise_is_out_of_band(spark):
+    rng = random.Random(1)
+    base64_letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    noise = " ".join("".join(rng.choice(base64_letters) for _ in range(60)) for _ in range(100))
+    prose = " ".join("".join(rng.choice(["an", "ti", "on", "er", "th", "e"]) for _ in range(rng.randint(1, 4))) for _ in range(900))
+    docs = spark.createDataFrame([(1, noise), (2, prose), (4, noise * 2 + prose)], "doc_id long, text string")
+    assert {r.doc_id: (r.kept, r.verdict) for r in quality_bands.compression_bands(docs).collect()} == {1: (False, "incompressible"), 2: (True, "kept"), 4: (False, "chunks")}
+    packer = __import__("zstandard").ZstdCompressor(level=3)
+    words = lambda letters, n: "".join(" " if i % 8 == 7 else rng.choice(letters) for i in range(n))
+    for n in (320, 384, 512, 700, 1024, 2000, 4096, 20_000, 200_000):
+        for letters in ("".join(map(chr, range(33, 127))), base64_letters, *(["0123456789abcdef", "abcdefghijklmnopqrstuvwxyz"] if n >= 4096 else [])):
+            assert quality_bands.measure(words(letters, n), packer)[-1] == "incompressible"
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
