@@ -143,6 +143,15 @@ def test_noise_is_out_of_band(spark):
             assert quality_bands.measure(words(letters, n), packer)[-1] == "incompressible"
 
 
+def test_chunks_cover_the_tail():
+    rng, packer = random.Random(6), __import__("zstandard").ZstdCompressor(level=3)
+    prose = " ".join("".join(rng.choice(["an", "ti", "on", "er", "th", "e"]) for _ in range(rng.randint(1, 4))) for _ in range(1200))
+    noise = "".join(chr(rng.randrange(33, 127)) for _ in range(2000))
+    assert quality_bands.measure(prose[:4096] + noise, packer)[-2:] == (2000 / 6096, "chunks")
+    assert quality_bands.measure(prose[:4096] + "a" * 2000, packer)[-2:] == (2000 / 6096, "chunks")
+    assert quality_bands.measure(prose[:6096], packer)[-2:] == (0.0, "kept") and quality_bands.measure(prose[:4096] + noise[:900], packer)[-1] == "kept"
+
+
 @pytest.fixture(scope="module")
 def reference():
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}

@@ -27,7 +27,7 @@ CHUNK_BYTES = 4096
 BANDS = ((100, 0.30, 1.60), (256, 0.22, 1.10), (384, 0.16, 0.85), (512, 0.16, 0.81), (768, 0.13, 0.775), (1024, 0.13, 0.75), (2048, 0.10, 0.72), (4096, 0.10, 0.70), (float("inf"), 0.06, 0.68))
 #: A text or chunk of at least CHUNK_BYTES is noise unless it shrinks to under this share of its bytes' entropy.
 MOST_ENTROPY = 0.995
-#: A document is rejected if more than this share of its chunks is out of band.
+#: A document is rejected if more than this share of its bytes is in chunks out of band; the last chunk may be short.
 BAD_CHUNKS = 0.25
 SYMBOLS = "#*$%&|<>"
 
@@ -98,9 +98,8 @@ def measure(text: str | None, packer: zstandard.ZstdCompressor) -> tuple:
     if raw:
         ratio, verdict = rating(raw, packer)
         if len(raw) > CHUNK_BYTES:
-            starts = range(0, len(raw) - CHUNK_BYTES // 2, CHUNK_BYTES)
-            parts = [rating(raw[i:i + CHUNK_BYTES], packer)[1] for i in starts]
-            bad = sum(v != "kept" for v in parts) / len(parts)
+            parts = [raw[i:i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+            bad = sum(len(c) for c in parts if rating(c, packer)[1] != "kept") / len(raw)
             if verdict == "kept" and bad > BAD_CHUNKS:
                 verdict = "chunks"
     if failed:
@@ -119,7 +118,7 @@ def compression_bands(docs: DataFrame) -> DataFrame:
     ``kept`` is false for documents under ten words, for those of whose words
     over a fifth stand in repeated five-word windows, for those whose whole
     ratio leaves the band of their length or is no better than their bytes'
-    entropy, and for those with too many such chunks. Null and empty texts have no words and fail. Repeated rows
+    entropy, and for those with too many bytes in such chunks. Null and empty texts have no words and fail. Repeated rows
     give repeated results. No row depends on another, so nothing is shuffled."""
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         packer = zstandard.ZstdCompressor(level=LEVEL)
