@@ -192,6 +192,38 @@ def test_templates(spark, odd, none):
     assert line_templates.drop_recurring(none).count() == 0
 
 
+def test_many_templates_in_one_leaf(spark):
+    start, rng = "Click here to read more about", random.Random(3)
+    word = lambda: "".join(rng.choice("bcdfghjklmnp") for _ in range(9))
+    ends = [[word() for _ in range(6)] for _ in range(40)]
+    rows = []
+    for i in range(6):
+        for e in ends:  # each variant is in one document
+            rows.append((len(rows), f"{start} {' '.join(e[:5])} {word()}"))
+    rows += [(1000 + i, f"{start} {' '.join(word() for _ in range(6))}") for i in range(3)]
+    rows += [(2000 + i, f"{start} an unrelated line that repeats itself") for i in range(4)]  # of more copies than any variant, too few to go
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_dropped for r in line_templates.drop_recurring(docs).collect()}
+    assert got == {i: int(40 <= i < 1000) for i, _ in rows}
+
+
+@pytest.mark.parametrize("seed,patterns", [(1, 1), (2, 3), (3, 64)])
+def test_templates_as_line_by_line(spark, seed, patterns):
+    rng = random.Random(seed)
+    lines = {"".join(rng.choice("ab") if i < 3 else rng.choice("abc") for i in range(rng.choice([3, 7, 10]))): rng.randint(1, 4) for _ in range(150)}
+    rows = [(s.encode(), s, n, 1) for s, n in lines.items()]
+    want, leaves = {}, {}
+    for n, s in sorted(((n, s) for s, n in lines.items()), reverse=True):
+        known = leaves.setdefault((len(s), s[:3]), [])
+        fit = next((p for p in known if sum(a == b for a, b in zip(p, s)) >= 0.7 * len(s)), None)
+        if fit is None:
+            known.append(fit := s)
+        want[s] = fit
+    from pyspark.sql import functions as F
+    found = line_templates.templates(spark.createDataFrame(rows, "name binary, sketch string, n long, first long"), F.lit(1), patterns=patterns)
+    assert {bytes(r.name).decode(): bytes(r.template).decode() for r in found.collect()} == want and found.count() == len(want)
+
+
 def test_line_counts_against_brute_force(spark):
     docs = table(spark, SF, "documents").select("doc_id", "text")
     masks = lambda t: {tuple("<*>" if any(c in "0123456789" for c in w) else w for w in x.split()) for x in (t or "").split("\n")} - {()}

@@ -2,10 +2,11 @@
 
 A line goes down a tree of fixed depth: the number of its tokens, then its
 leading tokens, with every token that holds a digit read as a variable. In a
-leaf the line met most often is the pattern; lines that agree with it in enough
-places are instances of one template, whose other places are variable. Lines
-that do not agree go on with more leading tokens. A template seen in several
-documents is boilerplate: only the first document keeps it.
+leaf the line met most often is the first pattern; lines that agree with it in
+enough places are instances of one template, whose other places are variable.
+Of the lines that do not agree, the one met most often is the next pattern, and
+so on until no line of the leaf is left. A template seen in several documents is
+boilerplate: only the first document keeps it.
 
 Texts stay where they are: what is grouped and joined is a line's 128-bit name
 and its sketch, one letter for each token. Two different tokens share a letter
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from tidewatch.llm.common import free_name, written
 from tidewatch.operators.ranking import once
 
-#: Leading tokens on the levels of the tree.
-DEPTHS = (3, 6)
+#: Leading tokens that the lines of a leaf share.
+DEPTH = 3
+#: Lines of a leaf that are looked at for patterns in the first round; each round doubles it, up to the second number.
+PATTERNS, MOST_PATTERNS = 64, 1024
 #: Share of a leaf's places in which a line must agree with the pattern.
 SIMILARITY = 0.7
 #: Documents from which on a template is boilerplate; long lines need fewer.
@@ -49,25 +52,40 @@ def _needed(tokens: Column, min_docs: int, min_docs_long: int, long_tokens: int)
     return F.when(tokens >= long_tokens, min_docs_long).otherwise(min_docs)
 
 
-def templates(lines: DataFrame, needed: Column, depths: tuple[int, ...] = DEPTHS, similarity: float = SIMILARITY) -> DataFrame:
+def _patterns(todo: DataFrame, needed: Column, most: int, fits) -> DataFrame:
+    """(leaf, patterns): of the ``most`` lines met most often in a leaf, those
+    that fit no earlier one. Leaves with too few lines to recur are left out."""
+    best = lambda lines: F.slice(F.sort_array(lines, asc=False), 1, most)
+    some = todo.groupBy("leaf", "tokens", F.pmod(F.xxhash64("name"), F.lit(32)).alias("part")).agg(F.sum("n").alias("met"), best(F.collect_list(F.struct("n", "name", "sketch"))).alias("top"))
+    top = some.groupBy("leaf", "tokens").agg(F.sum("met").alias("met"), best(F.flatten(F.collect_list("top"))).alias("top")).filter(F.col("met") >= needed)
+    none = F.expr("cast(array() as array<struct<n: bigint, name: binary, sketch: string>>)")
+    return top.select("leaf", F.aggregate("top", none, lambda acc, x: F.when(F.exists(acc, lambda p: fits(p, x["sketch"])), acc).otherwise(F.concat(acc, F.array(x)))).alias("patterns"))
+
+
+def templates(lines: DataFrame, needed: Column, depth: int = DEPTH, similarity: float = SIMILARITY, patterns: int = PATTERNS) -> DataFrame:
     """(name, template, n, first, tokens); a template is named by its pattern.
-    Lines alone in their leaf that fewer than ``needed`` documents hold cannot
-    be part of a recurring template and are left out."""
+
+    Patterns are found as if line by line: a line, in the order of falling
+    ``n`` (then name), belongs to the first pattern of its leaf that it fits, or
+    is the next pattern. A round settles the first lines of each leaf among
+    themselves and all lines that fit the patterns among them. Lines of leaves
+    whose lines fewer than ``needed`` documents hold in all cannot be part of a
+    recurring template and are left out."""
+    def fits(p: Column, sketch: Column) -> Column:
+        same = F.aggregate(F.zip_with(F.split(sketch, ""), F.split(p["sketch"], ""), lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
+        return same >= similarity * F.length(sketch)
+
     todo = lines.withColumn("tokens", F.length("sketch"))
-    done = []
-    for depth in depths:
-        todo = written(todo.withColumn("leaf", F.xxhash64("tokens", F.substring("sketch", 1, depth))), "lines")
-        full = todo.groupBy("leaf").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-        placed = written(todo.join(full, "leaf", "left").filter(F.col("members").isNotNull() | (F.col("n") >= needed)), "leaves")
-        done.append(placed.filter("members is null").select("name", F.col("name").alias("template"), "n", "first", "tokens"))
-        crowded = placed.filter("members is not null").drop("members")
-        best = crowded.groupBy("leaf").agg(F.max_by(F.struct("name", "sketch"), F.struct("n", "name")).alias("p"))
-        best = best.select("leaf", F.col("p.name").alias("template"), F.col("p.sketch").alias("pattern"))
-        same = F.aggregate(F.zip_with(F.split("sketch", ""), F.split("pattern", ""), lambda a, b: (a == b).cast("int")), F.lit(0), lambda acc, x: acc + x)
-        fitted = written(crowded.join(best, "leaf").withColumn("fits", same >= similarity * F.col("tokens")).drop("pattern"), "fitted")
-        done.append(fitted.filter("fits").select("name", "template", "n", "first", "tokens"))
-        todo = fitted.filter("not fits").select("name", "sketch", "n", "first", "tokens")
-    done.append(todo.select("name", F.col("name").alias("template"), "n", "first", "tokens"))
+    todo = written(todo.withColumn("leaf", F.xxhash64("tokens", F.substring("sketch", 1, depth))), "lines")
+    full = todo.groupBy("leaf", "tokens").agg(F.sum("n").alias("met")).filter(F.col("met") >= needed).select("leaf")
+    todo, done = written(todo.join(full, "leaf", "left_semi"), "leaves"), []
+    while not done or not todo.isEmpty():
+        found = _patterns(todo, needed, patterns, fits)
+        first = F.aggregate("patterns", F.lit(None).cast("binary"), lambda acc, p: F.coalesce(acc, F.when(fits(p, F.col("sketch")), p["name"])))
+        fitted = written(todo.join(found, "leaf").select("leaf", "name", "sketch", "n", "first", "tokens", first.alias("template")), "fitted")
+        done.append(fitted.filter("template is not null").select("name", "template", "n", "first", "tokens"))
+        todo = fitted.filter("template is null").drop("template")
+        patterns = min(2 * patterns, max(patterns, MOST_PATTERNS))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)
