@@ -207,6 +207,14 @@ def test_many_templates_in_one_leaf(spark):
     assert got == {i: int(40 <= i < 1000) for i, _ in rows}
 
 
+def test_lines_of_one_document_count_once(spark):
+    lines = [f"Always the same words and one {x} here" for x in ("apple", "grape", "lemon", "melon", "peach")]
+    rows = [(1, "\n".join(lines[:4])), (2, lines[4]), *[(i, f"Other words that all {x} share") for i, x in enumerate("abcde", 3)], (9, "One more line that comes\nOne more line that goes"), *[(10, "One more line that repeats")] * 3]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_dropped) for r in line_templates.drop_recurring(docs).collect())
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 1), (5, 1), (6, 1), (7, 1), (9, 0), (10, 0), (10, 0), (10, 0)]
+
+
 @pytest.mark.parametrize("seed,patterns", [(1, 1), (2, 3), (3, 64)])
 def test_templates_as_line_by_line(spark, seed, patterns):
     rng = random.Random(seed)

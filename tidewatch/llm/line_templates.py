@@ -93,13 +93,15 @@ def templates(lines: DataFrame, needed: Column, depth: int = DEPTH, similarity:
 
 
 def recurring(lines: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int = MIN_DOCS_LONG, long_tokens: int = LONG_TOKENS) -> DataFrame:
-    """(name, owner): lines of boilerplate templates and the document that keeps
-    them. Lines of one template in one document count each for its total."""
+    """(name, template, owner, lines, needed): lines of templates that may be
+    boilerplate, the document that keeps them, how many lines the template has
+    and how many documents it needs. A template of one line has them; of several
+    lines, some may be in one document, which :func:`drop_recurring` counts."""
     needed = _needed(F.col("tokens"), min_docs, min_docs_long, long_tokens)
     found = templates(lines, needed)
-    whole = found.groupBy("template").agg(F.sum("n").alias("docs"), F.min("first").alias("owner"), F.max("tokens").alias("tokens"))
-    whole = whole.filter((F.col("docs") >= needed) & F.col("owner").isNotNull()).select("template", "owner")
-    return found.select("name", "template").join(whole, "template").select("name", "owner")
+    whole = found.groupBy("template").agg(F.sum("n").alias("met"), F.min("first").alias("owner"), F.max("tokens").alias("tokens"), F.count(F.lit(1)).alias("lines"))
+    whole = whole.filter((F.col("met") >= needed) & F.col("owner").isNotNull()).select("template", "owner", "lines", needed.alias("needed"))
+    return found.select("name", "template").join(whole, "template")
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int = MIN_DOCS_LONG, long_tokens: int = LONG_TOKENS) -> DataFrame:
@@ -113,11 +115,16 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, min_docs_long: int
     where all are null, none is dropped."""
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     docs = docs.select(*[f"`{c}`" for c in names])
-    dropped = recurring(line_counts(docs), min_docs, min_docs_long, long_tokens)
+    maybe = recurring(line_counts(docs), min_docs, min_docs_long, long_tokens)
     k1, k2, gone, lines = (free_name(docs, n) for n in ("row_key", "row_key2", "gone", "lines"))
     keyed = docs.withColumns({k1: F.xxhash64("doc_id", "text"), k2: F.xxhash64(F.lit("second"), "text", "doc_id")})
     named = keyed.select("doc_id", k1, k2, F.posexplode(F.expr(f"transform({_tokens('text')}, t -> if(size(t) > 0, unhex({_NAME}), null))")).alias("at", "name"))
-    hit = named.filter("name is not null").join(dropped, "name").filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
+    hit = written(named.filter("name is not null").join(maybe, "name").drop("name"), "hits")
+    # lines of one template in one document are one; rows that repeat a document are as many as hold one of its places
+    once_each = hit.filter("lines > 1").groupBy("template", "needed", k1, k2, "at").agg(F.count(F.lit(1)).alias("rows"))
+    once_each = once_each.groupBy("template", "needed", k1, k2).agg(F.max("rows").alias("rows"))
+    few = once_each.groupBy("template", "needed").agg(F.sum("rows").alias("docs")).filter("docs < needed").select("template")
+    hit = hit.join(few, "template", "left_anti").filter(~F.col("doc_id").eqNullSafe(F.col("owner")))
     places = hit.groupBy(k1, k2).agg(F.collect_set("at").alias(gone))
     joined = once(keyed.join(places, [k1, k2], "left"), lines, F.when(F.col(gone).isNotNull(), F.split("text", "\n")))
     kept = F.expr(f"transform(array_sort(array_except(sequence(0, size({lines}) - 1), {gone})), i -> {lines}[i])")
