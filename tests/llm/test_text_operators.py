@@ -98,6 +98,20 @@ def test_decontaminate(spark, odd, none):
     assert decontam.decontaminate(none, bench).count() == 0 and decontam.decontaminate(odd, bench.limit(0)).count() == odd.count()
 
 
+def test_document_of_a_short_item_goes(spark):
+    bench = spark.createDataFrame([(1, "what is the capital of chad")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "What is the capital of Chad?"), (2, "Ask: what is the capital of Chad? I do not know it, and neither do you.")], "doc_id long, text string")
+    assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [(2, docs.collect()[1].text)]
+
+
+def test_rest_of_a_cut_item_is_no_item(spark):
+    items = [(1, " ".join(f"w{i}" for i in range(43)))]
+    rows = [(1, "x w40 w41 w42 y"), (2, " ".join(f"w{i}" for i in range(33, 43))), (3, " ".join(f"w{i}" for i in range(35, 43)))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), list(r.items)) for r in decontam.contamination(docs, bench, block_words=40).collect())
+    assert got == [(d, *plain.contamination(t, items)) for d, t in rows]
+
+
 def test_empty_benchmark(odd, spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     got = sorted(((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontam.report(odd, bench).collect()), key=key)

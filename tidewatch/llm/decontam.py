@@ -179,8 +179,8 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: in
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     words = F.regexp_extract_all(F.coalesce(F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit("")), F.lit(word), F.lit(0))
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), words.alias("words")).filter(F.size("words") > 0)
-    step = block_words
-    cut = F.expr(f"transform(sequence(0, (size(words) - 1) div {step}), i -> slice(words, int(i * {step} + 1), {step + window - 1}))")
+    step = block_words  # a rest below the window has all its windows in the piece before, and would count as a short item
+    cut = F.expr(f"transform(sequence(0, greatest(0, size(words) - {window}) div {step}), i -> slice(words, int(i * {step} + 1), {step + window - 1}))")
     pieces = items.select("item", F.explode(cut).alias("words"))
     total = pieces.agg(F.sum(F.size("words"))).first()[0] or 0
     n = -(-total // block_words)
@@ -257,16 +257,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW,
     """The documents without benchmark passages; columns of ``docs``.
 
     Spans of at least ``min_span`` words are cut out of the text. A document of
-    whose words more than ``max_coverage`` lie in such spans is removed whole.
-    Shorter spans (whole short items) stay. Nulls and empty texts stay."""
+    whose words more than ``max_coverage`` lie in hits of any length is removed
+    whole. Shorter spans (whole short items) stay in other documents. Nulls and
+    empty texts stay."""
     names, hits = docs.columns, free_name(docs, "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", *others).alias("doc_id"), "text")
     found = contamination(packed, benchmark)
-    long = found.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
-    kept = long.filter((F.col("n_words") == 0) | (covered <= max_coverage * F.col("n_words")))
+    kept = found.filter((F.col("n_words") == 0) | (covered <= max_coverage * F.col("n_words")))
+    kept = kept.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
         text = pa.array(_cut(batch.column("text").to_pylist(), batch.column(hits).to_pylist()), pa.string())
