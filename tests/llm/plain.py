@@ -1,7 +1,12 @@
 """Brute-force versions of the operators in plain Python."""
 
+import collections
 import hashlib
+import math
 import re
+import zlib
+
+import numpy as np
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -95,3 +100,41 @@ def classes(rows, width, percent):
 
 def sha(x):
     return hashlib.sha256(x if isinstance(x, bytes) else x.encode()).hexdigest()
+
+
+def importance(docs, items, percent=5, min_words=20, buckets=10_000, seed=42):
+    """(doc_id, n_features, weight, score, rank) of (doc_id, text) rows; item texts are the target."""
+    def runs(text):
+        ws = bench_words(text)
+        return [zlib.crc32(" ".join(ws[i:i + n]).encode()) % buckets for n in (1, 2, 3) for i in range(len(ws) - n + 1)], len(ws)
+
+    s, t = collections.Counter(), collections.Counter()
+    for _, text in docs:
+        s.update(runs(text)[0])
+    for text in items:
+        t.update(runs(text)[0])
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = [math.floor(1000 * math.log((t[b] + 1) * (all_s + buckets) / ((s[b] + 1) * (all_t + buckets)))) for b in range(buckets)]
+    out = []
+    for d, text in docs:
+        found, n = runs(text)
+        h = int(sha(f"{seed}:{'' if d is None else d}")[:8], 16)
+        weight = sum(gain[b] for b in found)
+        out.append([d, len(found), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= min_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for i, r in enumerate(able[:len(able) * percent // 100]):
+        r[4] = i + 1
+    return [tuple(r[:5]) for r in out]
+
+
+def whitened(vectors, k=8):
+    """Mean-centred whitening of (id, list) rows by numpy's eigenvalues: rows of (id, deviation, |whitened|), shares."""
+    rows = [(i, [math.floor(1024.0 * c) + 100000 for c in v]) for i, v in vectors if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    x, n = np.array([r for _, r in rows], dtype=np.int64), len(rows)
+    total = [sum(int(r[i]) for r in x) for i in range(x.shape[1])]
+    y = x - np.array(total) / n
+    v = y.T @ y / n
+    e, q = np.linalg.eigh(v)
+    e, q = e[::-1][:k], q[:, ::-1][:, :k]
+    off = [sum((n * int(a) - s) ** 2 for a, s in zip(r, total)) for r in x]
+    return [(i, o, np.abs(w)) for (i, _), o, w in zip(rows, off, (y @ q) / np.sqrt(e))], e / np.trace(v)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewatch.llm import bpe, decontam, langid, line_templates, neardup, pii, quality_bands, quality_model, ring, warc
+from tidewatch.llm import bpe, decontam, importance, langid, line_templates, neardup, pii, quality_bands, quality_model, ring, site_templates, warc, whitening
 from tidewatch.llm.common import table
 
 
@@ -61,9 +61,24 @@ def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (~langid.in_training(F.col("doc_id"))).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
+def op11_spectrum_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.whiten(vectors, whitening.fit(vectors)).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op13_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_templates.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_bootstrapped_pii, op2_automaton_decontamination, op3_compression_bands, op4_warc_round_trip, op5_prefix_bpe,
-    op6_bounded_ring, op7_subword_quality, op8_template_lines, op9_odd_sketches, op10_output_codes)}
+    op6_bounded_ring, op7_subword_quality, op8_template_lines, op9_odd_sketches, op10_output_codes,
+    op11_spectrum_whitening, op12_importance_resampling, op13_site_templates)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
