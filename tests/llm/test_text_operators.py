@@ -181,6 +181,22 @@ def test_tokens_of_odd_strings(reference):
         assert ids == reference.encode_ordinary(text) and enc.decode(ids) == text.encode()
 
 
+def test_the_passed_pattern_counts(reference):
+    other = r"\p{L}+|\s|[^\p{L}\s]"
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    want, enc = tiktoken.Encoding("other", pat_str=other, mergeable_ranks=ranks, special_tokens={}), bpe.encoder(PATH, other)
+    for text in ("it's 1234 plain words,  two blanks", "ünï 42x\n\n\tend"):
+        assert enc.encode(text) == want.encode_ordinary(text) != reference.encode_ordinary(text)
+
+
+def test_caches_forget_the_oldest():
+    made = []
+    cache = bpe.Recent(lambda k: made.append(k) or k + 1, 3)
+    for k in (1, 2, 3, 1, 4, 1, 5, 6, 1, 2):
+        assert cache[k] == k + 1 and len(cache) <= 3 and len(cache.old) <= 3
+    assert made.count(1) == 1 and made.count(2) == 2
+
+
 def test_prefix_table_appends_and_edits(reference):
     enc, rng = bpe.encoder(PATH, PATTERN), random.Random(5)
     whole = lambda b: list(enc.vocab.bytes[i] for i in bpe.PrefixTable(enc.vocab, b).ids())

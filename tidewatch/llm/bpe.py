@@ -1,9 +1,10 @@
 """Byte-level BPE by dynamic programming over prefixes.
 
 For every prefix of a piece there is exactly one token that can come last in its
-encoding. The table of these last tokens is filled from left to right; reading
-it backwards gives the ids. Appending bytes only adds entries, and after an edit
-everything before it is still right."""
+encoding. The table of these last tokens is filled from left to right, with the
+tokens that end at a byte found by one automaton; reading it backwards gives the
+ids. Appending bytes only adds entries, and after an edit everything before it
+is still right."""
 
 from __future__ import annotations
 
@@ -11,18 +12,39 @@ import base64
 import hashlib
 import re
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tidewatch.llm.common import Memo, by_slices
+from tidewatch.llm.common import by_slices
 
-#: What the pattern means on texts of ASCII characters only; checked against the full one in the tests.
+#: The public pattern, and what it means on texts of ASCII characters only (checked in the tests). Other patterns are used as passed.
+PUBLIC_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+"
 #: White space in the sense of the public tokenizers: Python also counts the four ASCII separators.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 
 
+class Recent(dict):
+    """A cache of bounded size in two generations: once the young one is full
+    it becomes the old one, and what is asked for again moves back."""
+
+    def __init__(self, make, limit: int):
+        super().__init__()
+        self.make, self.limit, self.old = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 class Vocabulary:
     """Ranks, and for each token the nodes on the two edges of its merge tree."""
 
@@ -33,13 +55,15 @@ class Vocabulary:
         self._left: dict[int, tuple] = {}
         self._parts: dict[int, tuple[int, int] | None] = {}
         self.shift = max(ranks.values()).bit_length()
-        self.pairs = Memo(self._fits, 200_000)
+        self.pairs = Recent(self._fits, 400_000)
         #: Only tokens that their own bytes encode to can occur.
         self.valid = {b: r for b, r in ranks.items() if self.alone(r)}
-        #: Length of the longest token that ends in these three bytes; all others have at most two.
-        self.longest: dict[bytes, int] = {}
-        for b in self.valid:
-            self.longest[b[-3:]] = max(self.longest.get(b[-3:], 2), len(b))
+        self.most = max(map(len, self.valid))
+        #: Finds all valid tokens that end at a byte, the longest first; bytes stand as characters 0 to 255.
+        self.ends = ahocorasick.Automaton()
+        for b, r in self.valid.items():
+            self.ends.add_word(b.decode("latin-1"), (len(b), r))
+        self.ends.make_automaton()
         self.numerals = {r: str(r) for r in self.bytes}
 
     @classmethod
@@ -104,16 +128,15 @@ class PrefixTable:
     def append(self, more: bytes) -> None:
         v = self.vocab
         begin, self.data = len(self.data), self.data + more
-        data, last, get, longest, pairs, shift = self.data, self.last, v.valid.get, v.longest.get, v.pairs, v.shift
-        for end in range(begin + 1, len(data) + 1):
-            most = longest(data[end - 3:end], 2) if end > 2 else end
-            for start in range(end - most if end > most else 0, end):
-                token = get(data[start:end])
-                if token is not None and (not start or pairs[last[start] << shift | token]):
-                    last.append(token)
-                    break
-            else:
-                raise ValueError("the vocabulary lacks a byte")
+        last, pairs, shift = self.last, v.pairs, v.shift
+        base = max(0, begin - v.most + 1)  # no token that ends in the new bytes starts before
+        need = begin - base  # the byte whose prefix is to be filled next
+        for end, (length, token) in v.ends.iter(self.data[base:].decode("latin-1")):
+            if end == need and (length > end + base or pairs[last[end + base + 1 - length] << shift | token]):
+                last.append(token)
+                need += 1
+        if len(last) != len(self.data) + 1:
+            raise ValueError("the vocabulary lacks a byte")
 
     def edit(self, at: int, removed: int, new: bytes) -> None:
         """Replace ``removed`` bytes at ``at``; the table before stays."""
@@ -133,25 +156,18 @@ class Encoder:
     def __init__(self, path: str, pattern: str):
         self.vocab = Vocabulary.load(path)
         self.full = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
-        self.plain = re.compile(ASCII_PATTERN)
-        self.pieces = Memo(self._piece, 200_000)
-        self.stems = Memo(self._stem, 30_000)
+        self.plain = re.compile(ASCII_PATTERN) if pattern == PUBLIC_PATTERN else None
+        self.pieces = Recent(self._piece, 150_000)
 
     def _piece(self, piece: str) -> tuple[int, ...]:
         data = piece.encode("utf-8", "surrogatepass")
         whole = self.vocab.valid.get(data)
         if whole is not None:
             return (whole,)
-        cut = (len(data) - 1) // 4 * 4
-        known = self.stems[data[:cut]] if 4 <= cut <= 16 else None
-        return tuple(PrefixTable(self.vocab, data, known).ids())
-
-    def _stem(self, data: bytes) -> PrefixTable:
-        """Many words begin alike: their tables are continued, not built anew."""
-        return PrefixTable(self.vocab, data, self.stems[data[:-4]] if len(data) > 4 else None)
+        return tuple(PrefixTable(self.vocab, data).ids())
 
     def split(self, text: str) -> list[str]:
-        return (self.plain if text.isascii() and not SEPARATORS.search(text) else self.full).findall(text)
+        return (self.plain if self.plain and text.isascii() and not SEPARATORS.search(text) else self.full).findall(text)
 
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
