@@ -156,7 +156,17 @@ def test_recurring_subtrees_go(spark):
         for x in site_templates.candidates(site_templates.parse(SITE % (i, i, i))):
             counted[x] = counted.get(x, 0) + 1
     found = site_templates.templates(pages).collect()
-    assert [r["host"] for r in found] == ["news.example.org"] and set(found[0]["hashes"]) == {x for x, n in counted.items() if n >= 5}
+    assert [(r["host"], r["pages"]) for r in found] == [("news.example.org", 9)] and set(found[0]["hashes"]) == {x for x, n in counted.items() if n >= 5}
+
+
+def test_large_and_small_hosts_agree(spark, monkeypatch):
+    rows = [(100 * h + i, f"http://host{h}.example.org/{i}", SITE % (i, i, i)) for h in range(4) for i in range(3 + 3 * h)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, site_templates.extract(pages).collect()))
+    for parts in (1, 3):  # no host, then some hosts, are large
+        monkeypatch.setattr(site_templates, "LARGE_HOSTS", parts)
+        assert sorted(map(tuple, site_templates.extract(pages).collect())) == want
+    assert sum("Printed" in r[2] for r in want) == 3
 
 
 def test_copied_articles_stay(spark):

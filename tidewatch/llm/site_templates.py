@@ -18,11 +18,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewatch.llm.common import by_slices
+from tidewatch.llm.common import by_slices, written
 
 #: Template: found on this many pages of the host and on this part of them. A
 #: host so has at most 1 / MIN_SHARE times as many template subtrees as a page has elements.
 MIN_PAGES, MIN_SHARE = 5, 0.05
+#: Hosts with at least one page in so many are joined by broadcast; so many such hosts exist at most.
+LARGE_HOSTS = 512
 
 # Fixed values of HTML: elements by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -250,7 +252,7 @@ def main_text(page: Page, template: set[int]) -> str:
             kept[e.start:end] = bytes(end - e.start)
             if end > e.start and page.pieces[end - 1] == "\n":
                 kept[end - 1] = 1  # the break stays
-    blocks = "".join(p if p == "\n" or p == " " else re.sub(r"\s", " ", p) for p, k in zip(page.pieces[first:last], kept[first:last]) if k).split("\n")
+    blocks = "".join(p if p == "\n" or p == " " else p.replace("\n", " ") for p, k in zip(page.pieces[first:last], kept[first:last]) if k).split("\n")
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
@@ -259,10 +261,10 @@ def _host(url: str = "url"):
 
 
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """host and ``hashes`` of its template subtrees. A page counts once for each
-    of its subtrees, copies of a page count each; counts are added up before the
-    shuffle, so a host with most of the pages is no hot key. Pages without a host
-    take no part."""
+    """Each host with enough pages, their number and ``hashes`` of the host's
+    template subtrees. A page counts once for each of its subtrees, copies of a
+    page count each; counts are added up before the shuffle, so a host with most
+    of the pages is no hot key. Pages without a host take no part."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
@@ -274,21 +276,22 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
     counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
     whole = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
     often = counts.filter("hash <> 0").join(whole, "host").filter(F.col("n") >= min_share * F.col("pages"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    rows = often.select("host", "pages", "hash").unionByName(whole.select("host", "pages", F.lit(None).cast("long").alias("hash")))
+    return rows.groupBy("host", "pages").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
     """page_id, url, text and n_chars of every page row.
 
-    ``found``: the output of :func:`templates`, by default of these pages. It is
-    joined by host; a host's list is bounded, and Spark sends the whole table to
-    the tasks if it is small, else splits large hosts. Null, empty and
+    ``found``: the output of :func:`templates`, by default of these pages. A
+    host's list is bounded. Pages of large hosts get it by broadcast and are not
+    shuffled; the others are joined by host. Null, empty and
     text-free pages give an empty text; pages of any length are taken whole.
     Repeated rows stay apart and give equal texts. A page without a host, or of a
     host with fewer than ``MIN_PAGES`` pages, has declared markup removed only.
     Where two elements hold equally much text, the first is the main one. Other
     columns are not read. An empty table gives an empty one."""
-    found = templates(pages) if found is None else found
+    found = written(templates(pages) if found is None else found, "templates")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -302,5 +305,11 @@ def extract(pages: DataFrame, found: DataFrame | None = None) -> DataFrame:
         return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())],
                                           names=["page_id", "url", "text", "n_chars"])
 
-    joined = pages.select("page_id", "url", "html", _host().alias("host")).join(found, "host", "left").select("page_id", "url", "html", "hashes")
+    least = pages.count() / LARGE_HOSTS
+    large = F.broadcast(found.filter(F.col("pages") >= least).select("host", "hashes", F.lit(True).alias("large")))
+    first = pages.select("page_id", "url", "html", _host().alias("host")).join(large, "host", "left")
+    rest = first.filter("large is null and host <> ''").select("page_id", "url", "html", "host")
+    rest = rest.join(found.filter(F.col("pages") < least).select("host", "hashes"), "host", "left")
+    direct = first.filter("large or host = ''")
+    joined = direct.select("page_id", "url", "html", "hashes").unionByName(rest.select("page_id", "url", "html", "hashes"))
     return joined.mapInArrow(by_slices(run), f"page_id {kind}, url string, text string, n_chars long")
