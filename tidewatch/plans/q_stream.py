@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewatch.plans.registry import query
 from tidewatch.sources import bridge as B
 from tidewatch.streaming import leases as L
+from tidewatch.streaming import lifecycle as Y
 
 WEEK = 7 * 86400
 SPAN = 30 * 86400
@@ -111,6 +112,73 @@ def _(spark, d):
     return L.run_to_table(L.dispatch_stream(dispatch_events(stream(spark, d)), 3600), "dispatches")
 
 
+DAY = 86400
+
+
+def life(spark, d, op, ref, processor, name):
+    """Events as rows of a life: what happens by event type, micro-batches may come in any order within the span of the table."""
+    e = stream(spark, d).select(F.col("user_id").cast("string").alias("key"), "event_id", op.alias("op"), ref.alias("ref"), micros().alias("ts_us"))
+    return L.run_to_table(Y.life_stream(e, processor, f"{SPAN} seconds"), name).select("key", "event_id", "op", "result")
+
+
+def _life_sql(op: str, ref: str, start: str, result: str, after: str) -> str:
+    """One row per event: ``result`` from the state before, ``after`` from result and state."""
+    return f"""WITH RECURSIVE ev AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, {op} AS op, {ref} AS ref, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+      st AS (SELECT DISTINCT key, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS event_id, '' AS op, '' AS result, {start} FROM ev
+        UNION ALL SELECT key, rn, event_id, op, result, {after} FROM (SELECT e.*, s.* EXCLUDE (key, rn), {result} AS result FROM (SELECT * EXCLUDE (event_id, op, result) FROM st) s JOIN ev e ON e.key = s.key AND e.rn = s.rn + 1))
+      SELECT key, event_id, op, result FROM st WHERE rn > 0"""
+
+
+@query(
+    "claim_release_stream",
+    _life_sql(
+        "CASE event_type WHEN 'error' THEN 'release' WHEN 'signup' THEN 'lookup' ELSE 'claim' END", "''", "CAST(0 AS BIGINT) AS expiry",
+        "CASE op WHEN 'lookup' THEN CASE WHEN t < expiry THEN 'claimed' ELSE 'free' END WHEN 'release' THEN CASE WHEN t < expiry THEN 'released' ELSE 'noop' END "
+        "ELSE CASE WHEN t < expiry THEN 'duplicate' ELSE 'accepted' END END",
+        f"CASE WHEN result = 'accepted' THEN t + {DAY}000000 WHEN op = 'release' THEN 0 ELSE expiry END"),
+)
+def _(spark, d):
+    t = F.col("event_type")
+    op = F.when(t == "error", "release").when(t == "signup", "lookup").otherwise("claim")
+    return life(spark, d, op, F.lit(""), Y.ClaimLife(DAY), "claim-life")
+
+
+@query(
+    "reservation_republish_stream",
+    _life_sql(
+        "CASE WHEN event_type = 'purchase' THEN 'complete' WHEN event_type = 'error' THEN CASE WHEN value > 250 THEN 'withdraw' ELSE 'release' END WHEN event_type = 'signup' THEN 'republish' ELSE 'reserve' END",
+        "CASE WHEN event_type = 'purchase' AND value < 300 THEN 'a' || event_id ELSE '' END", "'' AS status, '' AS analysis, CAST(0 AS BIGINT) AS expiry",
+        "CASE WHEN op = 'complete' THEN 'completed' WHEN op = 'release' THEN CASE status WHEN 'in_progress' THEN 'released' ELSE 'noop' END "
+        "WHEN op = 'withdraw' THEN CASE WHEN status = 'completed' AND analysis <> '' THEN 'withdrawn' ELSE 'noop' END "
+        "WHEN analysis <> '' AND (op <> 'republish' OR status = 'completed') THEN 'already_completed' WHEN status = 'in_progress' AND t < expiry THEN 'in_progress' ELSE 'reserved' END",
+        "CASE result WHEN 'completed' THEN 'completed' WHEN 'released' THEN 'released' WHEN 'withdrawn' THEN 'released' WHEN 'reserved' THEN 'in_progress' ELSE status END, "
+        "CASE WHEN result = 'completed' AND ref <> '' THEN ref ELSE analysis END, CASE result WHEN 'reserved' THEN t + 43200000000 ELSE expiry END"),
+)
+def _(spark, d):
+    t, v = F.col("event_type"), F.col("value")
+    op = F.when(t == "purchase", "complete").when(t == "error", F.when(v > 250, "withdraw").otherwise("release")).when(t == "signup", "republish").otherwise("reserve")
+    ref = F.when((t == "purchase") & (v < 300), F.concat(F.lit("a"), F.col("event_id").cast("string"))).otherwise("")
+    return life(spark, d, op, ref, Y.ReservationLife(DAY // 2), "reservation-life")
+
+
+# a session of a user is named by the number of its device (0 to 3): live from its last creation for two days, unless it or all were revoked since
+SESSIONS = f"""WITH ev AS (SELECT CAST(user_id AS VARCHAR) AS key, event_id, CASE event_type WHEN 'error' THEN CASE WHEN value > 250 THEN 'revoke_all' ELSE 'revoke' END WHEN 'view' THEN 'lookup' ELSE 'create' END AS op,
+    event_id % 4 AS dev, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  dev AS (SELECT DISTINCT key, dev AS of_dev FROM ev),
+  seen AS (SELECT ev.*, of_dev, last_value(CASE WHEN op = 'create' AND dev = of_dev THEN t + {2 * DAY}000000 WHEN op = 'revoke_all' OR op = 'revoke' AND dev = of_dev THEN 0 END IGNORE NULLS)
+      OVER (PARTITION BY ev.key, of_dev ORDER BY rn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expiry FROM ev JOIN dev ON ev.key = dev.key),
+  live AS (SELECT key, event_id, op, count(*) FILTER (WHERE dev = of_dev AND t < expiry) AS own, count(*) FILTER (WHERE t < expiry) AS others FROM seen GROUP BY 1, 2, 3)
+  SELECT key, event_id, op, CASE op WHEN 'create' THEN 'created' WHEN 'lookup' THEN CASE own WHEN 1 THEN 'live' ELSE 'none' END WHEN 'revoke' THEN CASE own WHEN 1 THEN 'revoked' ELSE 'noop' END
+    ELSE 'revoked ' || others END AS result FROM live"""
+
+
+@query("session_life_stream", SESSIONS)
+def _(spark, d):
+    t = F.col("event_type")
+    op = F.when(t == "error", F.when(F.col("value") > 250, "revoke_all").otherwise("revoke")).when(t == "view", "lookup").otherwise("create")
+    return life(spark, d, op, (F.col("event_id") % 4).cast("string"), Y.SessionLife(2 * DAY), "session-life")
+
+
 @query("stream_daily_window", "SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
 def _(spark, d):
     return L.run_complete(L.daily_window_stream(stream(spark, d)), "daily")
