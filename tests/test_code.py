@@ -178,3 +178,53 @@ def test_reading_sources(spark, tmp_path):
     files = spark.read.format("binaryFile").load(str(tmp_path)).withColumnsRenamed({"length": "size"})
     got = {r["path"][-4:]: (r["skip"], r["source"]) for r in P.read_sources(files).collect()}
     assert got == {"a.py": (None, "x = 1\n"), "b.py": ("binary", None), "c.py": ("binary", None)}
+
+
+FLOWS = [  # (source, state of the argument of the last call)
+    ("def f(a):\n    if a:\n        q = 'x'\n    else:\n        q = 'y'\n    g(q)\n", "STATIC"),
+    ("def f(a):\n    q = request.args['q']\n    if a:\n        q = 'x'\n    else:\n        q = 'y'\n    g(q)\n", "STATIC"),
+    ("def f(a):\n    q = 'x'\n    if a:\n        q = request.args['q']\n    else:\n        g(q)\n", "STATIC"),
+    ("def f(a):\n    q = 'x'\n    if a:\n        q = request.args['q']\n        g(q)\n", "TAINTED"),
+    ("def f(a):\n    q = 'x'\n    while a:\n        q = 'y'\n    g(q)\n", "STATIC"),
+    ("def f(a):\n    q = 'x'\n    while a:\n        q = request.args['q']\n    g(q)\n", "UNVERIFIED_DYNAMIC"),
+    ("def f(a):\n    q = 'x'\n    if a:\n        q = 'y'\n    elif b:\n        q = 'z'\n    g(q)\n", "STATIC"),
+    ("def f(a):\n    with a:\n        q = request.args['q']\n    g(q + 'x')\n", "TAINTED"),
+    ("def f(a):\n    try:\n        q = 'x'\n    except E:\n        q = request.args['q']\n    g(q)\n", "UNVERIFIED_DYNAMIC"),
+    ("def f(a):\n    q = 'x'\n    q = q + request.args['q']\n    g(q)\n", "TAINTED"),
+    ("def f(a):\n    g(a)\n", "UNKNOWN"),
+    ("def f():\n    g(sys.argv[1])\n", "TAINTED"),
+    ("def h(x, y):\n    z = y\n    return 'a' + z\ndef f():\n    g(h(request.args['q'], 'b'))\n", "STATIC"),
+    ("def h(x, y):\n    z = y\n    return 'a' + z\ndef f():\n    g(h('b', request.args['q']))\n", "TAINTED"),
+    ("def h(x, y):\n    return x\ndef f():\n    g(h(y=request.args['q'], x='b'))\n", "STATIC"),
+    ("def h(x):\n    return k(x)\ndef k(x):\n    return m(x)\ndef m(x):\n    return n(x)\ndef n(x):\n    return html.escape(x)\ndef f():\n    g(h(request.args['q']))\n", "SANITIZED"),
+    ("def h(x):\n    return k(x)\ndef k(x):\n    return h('c')\ndef f():\n    g(h(request.args['q']))\n", "STATIC"),
+    ("def h(x):\n    return x\ndef h(x):\n    return 'a'\ndef f():\n    g(h(request.args['q']))\n", "UNVERIFIED_DYNAMIC"),
+    ("def f():\n    g('%s' % request.form.get('a'))\n", "TAINTED"),
+    ("def f():\n    g(f'{x} {request.json[\"a\"]}')\n", "TAINTED"),
+    ("def f():\n    g(str(int(request.args['a'])))\n", "SANITIZED"),
+    ("def f():\n    g([request.args['a']])\n", "UNVERIFIED_DYNAMIC"),
+    ("def f():\n    x = y = request.args['a']\n    g(x)\n", "UNVERIFIED_DYNAMIC"),
+]
+
+
+def test_flows(rows):
+    src = rows([(f"f{i:02d}.py", x[0]) for i, x in enumerate(FLOWS)], "file_path string, source string")
+    facts = C.with_facts(C.with_values(C.python_facts(src))).filter("name = 'f'")
+    got = {r["file_path"]: r["s"] for r in facts.select("file_path", F.expr("filter(facts, x -> x.form = 'call' AND x.target = 'g')[0].val.state").alias("s")).collect()}
+    assert [(got[f"f{i:02d}.py"], x[0]) for i, x in enumerate(FLOWS)] == [(x[1], x[0]) for x in FLOWS]
+
+
+def test_many_branches_stay_linear(rows):
+    body = "".join(f"    if a{i}:\n        q = q + request.args['p{i % 3}']\n" for i in range(200))
+    src = rows([("f.py", f"def f(q):\n    q = 'x'\n{body}    c.execute(q)\n")], "file_path string, source string")
+    r = C.with_facts(C.with_values(C.python_facts(src))).filter("name = 'f'").select(F.expr("filter(facts, x -> x.target = 'c.execute')[0].val").alias("v")).first()["v"]
+    assert r["state"] == "UNVERIFIED_DYNAMIC" and len(r["sources"]) == 200 and len(r["steps"]) <= 401
+
+
+def test_nodes_come_after_their_parts():
+    from tidewatch.functions.pynodes import flatten
+
+    module, f = flatten("x = 1\ndef f(a, *b, c=2, **d):\n    s = 'ü' + a\n    def g(): return 1\n    return s\n")[:2]
+    assert f["params"] == ["a", "c", "*b", "**d"] and f["bound"] == ["a", "c"] and [n["text"] for n in f["outer"]][-1] == "x = 1"
+    assert all(k < i and f["nodes"][k]["first"] >= n["first"] for i, n in enumerate(f["nodes"]) for k in n["kids"])
+    assert "'ü' + a" in [n["text"] for n in f["nodes"]] and sum(n["kind"] == "Return" for n in f["nodes"]) == 1
