@@ -106,3 +106,21 @@ def test_expired_v2_does_not_fall_back(rows):
 def test_reason_rules(rows):
     df = rows([("OTHER", "abc"), ("OTHER", "long enough"), (None, None), ("NOPE", "x"), ("FALSE_POSITIVE", "y" * 1001)], "reason_code string, reason string")
     assert [r["reason_error"] for r in S.validate_reason(df).collect()] == ["comment required", None, None, "unknown code", "comment too long"]
+
+
+def test_counts_before_the_cap(rows):
+    data = [f(i, f"e{i}", title=f"t{i:02d}", sev="medium") for i in range(25)] + [f(99, "z", sev="high")]
+    merged = X.merge_findings(rows(data, SCHEMA), ["scope_id"], ["pos"])
+    for cap in (1, 5, 20):
+        got = X.rank_findings(merged, ["scope_id"], cap, counted=True).collect()
+        assert len(got) == cap and {(r["total_before_cap"], r["gate_before_cap"]) for r in got} == {(26, "block")}
+
+
+def test_null_keys_keep_their_rows(rows):
+    data = [(1, "f1", None, None, "c", "r", "2a", "1a"), (1, "f2", None, None, "c", "r", "2b", "1b"), (None, "f3", "p", "s", None, "r", "2c", "1c"), (1, "f4", "p", "s", "c", "r", "2d", "1d")]
+    fs = rows(data, "analysis_id long, finding_id string, file_path string, signal_type string, category string, repository string, fp_v2 string, fp_v1 string")
+    none = rows([], "suppression_id long, analysis_id long, finding_id string, repository string, fp_v2 string, fp_v1 string, fingerprint_version int, status string, expires_at timestamp_ntz, updated_at timestamp_ntz, created_at timestamp_ntz")
+    assert sorted(r["finding_id"] for r in S.resolve(fs, none, "2026-02-01").collect()) == ["f1", "f2", "f3", "f4"]
+    df = rows([(None, *f(1, "e")[1:]), (None, *f(2, "e", line=5)[1:])], SCHEMA)
+    m = X.with_evidence_count(X.merge_findings(df, ["scope_id"], ["pos"]), df, ["scope_id"]).collect()
+    assert [(r["scope_id"], r["evidence_count"]) for r in m] == [(None, 2)]

@@ -197,3 +197,11 @@ def test_explanations(rows):
                "answer string, title string, category string, cwe_id string")
     x, y = R.validate_explanation(bad).collect()
     assert x["summary"].startswith("T was found") and y["summary"] == "[REDACTED_SCRIPT] hi" and y["remediation"] == "do" and y["references"] == ["OWASP / CWE-1"]
+
+
+def test_claims_of_a_null_key(rows):
+    import datetime as d
+
+    data = [(k, d.datetime(2024, 1, day)) for k in ("a", None) for day in (1, 3)]
+    got = L.claim_batch(rows(data, "key string, ts timestamp_ntz"), ["key"], "ts", 3600).collect()
+    assert sorted((str(r["key"]), r["accepted_at"].day) for r in got) == [("None", 1), ("None", 3), ("a", 1), ("a", 3)]

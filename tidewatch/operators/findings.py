@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators.ranking import top_n
+from tidewatch.operators.ranking import join_same, top_n
 
 # Severities and confidences with their ranks, and the report cap.
 SEVERITY_RANK = {"critical": 4, "high": 3, "medium": 2, "low": 1, "unknown": 0}
@@ -201,7 +201,7 @@ def with_evidence_count(merged: DataFrame, findings: DataFrame, scope: Sequence[
     grouped passes and joined back."""
     items = findings.select(*scope, identity(), *EVIDENCE).groupBy(*scope, "identity", *EVIDENCE).agg(F.lit(1).alias("_one"))
     n = items.groupBy(*scope, "identity").agg(F.count(F.lit(1)).alias("evidence_count"))
-    return merged.join(n, [*scope, "identity"])
+    return join_same(merged, n, [*scope, "identity"])
 
 
 def merged_evidence(findings: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -219,9 +219,15 @@ def finding_order() -> list[Column]:
     ]
 
 
-def rank_findings(merged: DataFrame, scope: Sequence[str], cap: int = MAX_FINDINGS) -> DataFrame:
-    """RNK-02: strongest ``cap`` findings per report, numbered ``finding_1..``."""
+def rank_findings(merged: DataFrame, scope: Sequence[str], cap: int = MAX_FINDINGS, counted: bool = False) -> DataFrame:
+    """RNK-02: strongest ``cap`` findings per report, numbered ``finding_1..``.
+    ``counted`` adds what the cap hides: ``total_before_cap`` and, for a gate
+    that sees every finding, ``gate_before_cap``, from a grouped count."""
     top = top_n(merged, list(scope), finding_order(), cap, rank="rank")
+    if counted:
+        sev = F.col("severity")
+        whole = merged.groupBy(*scope).agg(F.count(F.lit(1)).alias("total_before_cap"), F.count_if(sev == "critical").alias("_c"), F.count_if(sev == "high").alias("_h"), F.count_if(sev == "medium").alias("_m"))
+        top = join_same(top, whole.withColumn("gate_before_cap", gate("_c", "_h", "_m")).drop("_c", "_h", "_m"), list(scope))
     return top.withColumn("finding_id", F.concat(F.lit("finding_"), F.col("rank").cast("string")))
 
 
@@ -324,11 +330,11 @@ def mock_provider(evidence: DataFrame) -> DataFrame:
     return evidence_to_findings(evidence)
 
 
-def clamp_provider_output(findings: DataFrame, valid_documents: DataFrame, scope: Sequence[str], order: Sequence[Column]) -> DataFrame:
+def clamp_provider_output(findings: DataFrame, valid_documents: DataFrame, scope: Sequence[str], order: Sequence[Column], cap: int = MAX_FINDINGS) -> DataFrame:
     """UDF-03: clamp, ground, number and cap what a provider returned. Unknown
     severities are not counted as info on this path."""
     rows = ground(normalize_findings(findings), valid_documents)
-    top = top_n(rows, list(scope), order, MAX_FINDINGS, rank="rank")
+    top = top_n(rows, list(scope), order, cap, rank="rank")
     return top.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("total_findings"),
         *[F.count_if(F.col("severity") == s).alias(f"{s}_count") for s in ("critical", "high", "medium", "low", "info")],

@@ -18,6 +18,17 @@ def top_n(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column],
     return out if rank else out.drop(name)
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where NULL equals NULL, as in a grouping, so that no
+    row with a NULL key is lost; the keys of ``left`` stay."""
+    own = [f"_same{i}" for i in range(len(keys))]
+    side = right.withColumnsRenamed(dict(zip(keys, own)))
+    on = F.lit(True)
+    for k, o in zip(keys, own):
+        on = on & F.col(k).eqNullSafe(F.col(o))
+    return left.join(side, on, how).drop(*own)
+
+
 def ranked_limit(df: DataFrame, order: Sequence[Column], n: int, rank: str = "rank") -> DataFrame:
     """Global top ``n`` with 1-based ranks: a distributed top-k first, then the
     window runs over at most ``n`` rows."""

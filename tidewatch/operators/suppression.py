@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewatch.functions import text as T
 from tidewatch.functions.hashing import fingerprint_v1, fingerprint_v2
 from tidewatch.operators import predicates as P
-from tidewatch.operators.ranking import top_n
+from tidewatch.operators.ranking import join_same, top_n
 
 # Reason codes, those that need a comment, and the comment bounds.
 REASON_CODES = ["FALSE_POSITIVE", "ACCEPTED_RISK", "TEST_OR_MOCK", "EXTERNAL_SANITIZATION", "OTHER"]
@@ -53,7 +53,7 @@ def resolve(findings: DataFrame, records: DataFrame, now: str) -> DataFrame:
     v1 = _tag(latest_per(active.filter("fingerprint_version = 1"), "repository", "fp_v1"),
               {"repository": "repository", "fp_v1": "fp_v1"}, "r1")
     rows = (
-        findings.join(ambiguity(findings), ["analysis_id", "file_path", "signal_type", "category"])
+        join_same(findings, ambiguity(findings), ["analysis_id", "file_path", "signal_type", "category"])
         .join(direct, ["analysis_id", "finding_id"], "left")
         .join(v2, ["repository", "fp_v2"], "left")
         .join(v1, ["repository", "fp_v1"], "left")

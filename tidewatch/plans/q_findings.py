@@ -125,6 +125,18 @@ def _(spark, d):
         "analysis_id", "finding_id", "title", "severity", "confidence", "document_id")
 
 
+@query(
+    "finding_counts_before_cap",
+    NORM + """SELECT k.analysis_id, k.finding_id, g.total_before_cap, CASE WHEN g.ch > 0 THEN 'block' WHEN g.m > 0 THEN 'review' ELSE 'allow' END AS gate_before_cap
+      FROM (SELECT analysis_id, 'finding_' || rk AS finding_id FROM kept WHERE rk <= 2) k
+      JOIN (SELECT analysis_id, count(*) AS total_before_cap, count(*) FILTER (WHERE severity IN ('critical', 'high')) AS ch, count(*) FILTER (WHERE severity = 'medium') AS m FROM kept GROUP BY 1) g USING (analysis_id)""",
+    ("findings",),
+)
+def _(spark, d):
+    # the two strongest findings of each report next to what the whole report holds; no report here reaches the 20 of ``kept``
+    return X.rank_findings(merged(spark, d), ["analysis_id"], 2, counted=True).select("analysis_id", "finding_id", "total_before_cap", "gate_before_cap")
+
+
 @query(
     "repository_report",
     NORM + """SELECT analysis_id, total_findings, critical_count, high_count, medium_count, low_count, info_count, review_status FROM gated""",

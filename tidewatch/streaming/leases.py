@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from tidewatch.operators.ranking import join_same
 from tidewatch.session import shared_dir
 from tidewatch.streaming import fsm
 
@@ -42,7 +43,7 @@ def claim_batch(events: DataFrame, keys: Sequence[str], ts: str, ttl_seconds: in
         for _ in range(_BATCH_ROUNDS):
             first = rows.groupBy(*keys).agg(F.min("_ts").alias("accepted_at"))
             found = found.unionByName(first)
-            rows = rows.join(first, list(keys)).filter(F.col("_ts") >= cut).drop("accepted_at")
+            rows = join_same(rows, first, keys).filter(F.col("_ts") >= cut).drop("accepted_at")
         rows = rows.checkpoint()
         if rows.isEmpty():
             return found
