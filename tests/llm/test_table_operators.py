@@ -318,6 +318,16 @@ def test_pipeline_stages(spark):
     assert sum(plain.contamination(t, items)[1] for _, t in rows) == 0
 
 
+def test_shortened_texts_are_counted_anew(spark):
+    docs = table(spark, SF, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        if name in ("line dedup", "benchmark decontamination"):
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns and out.schema["n_chars"].dataType == docs.schema["n_chars"].dataType
+            assert out.filter("n_chars IS DISTINCT FROM length(text)").count() == 0
+            assert out.join(docs.withColumnRenamed("text", "old"), "doc_id").filter("text <> old").count() > 0
+
+
 def test_pipeline_stages_on_odd_rows(spark, odd, none):
     base = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for docs in (base, base.limit(0), odd):
