@@ -273,7 +273,8 @@ def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = M
                 yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in rows], pa.string()), pa.array([x for _, x in rows], pa.int64())], names=["host", "hash"])
 
     seen = pages.select(_host().alias("host"), "html").filter("host <> ''").mapInArrow(run, "host string, hash long")
-    counts = seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    # written, as it is used twice and the pages shall be parsed once
+    counts = written(seen.groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages), "template-counts")
     whole = counts.filter("hash = 0").select("host", F.col("n").alias("pages"))
     often = counts.filter("hash <> 0").join(whole, "host").filter(F.col("n") >= min_share * F.col("pages"))
     rows = often.select("host", "pages", "hash").unionByName(whole.select("host", "pages", F.lit(None).cast("long").alias("hash")))
