@@ -228,3 +228,69 @@ def test_nodes_come_after_their_parts():
     assert f["params"] == ["a", "c", "*b", "**d"] and f["bound"] == ["a", "c"] and [n["text"] for n in f["outer"]][-1] == "x = 1"
     assert all(k < i and f["nodes"][k]["first"] >= n["first"] for i, n in enumerate(f["nodes"]) for k in n["kids"])
     assert "'ü' + a" in [n["text"] for n in f["nodes"]] and sum(n["kind"] == "Return" for n in f["nodes"]) == 1
+
+
+SCRIPT = '''const express = require('express'); // it's
+app.get('/user', (req, res) => {
+    const id = req.query.id;
+    const q = "SELECT * FROM users WHERE id = "
+      + id
+      // note
+      + `x
+ ${ id }`;
+    db.query(
+      q,
+      { a: 1,
+        b: [2,
+            3] });
+    if (a) { el.innerHTML = id; el.outerHTML = 'x'; }
+    switch (x) { case 'a:b': { eval(id) } default: f(/["'(]/g); }
+});
+/* block (
+*/ const T = ({ a }) => (
+  <div dangerouslySetInnerHTML={{
+     __html: a }} />
+);
+eval('1'), eval(
+  id)
+'''
+
+
+def test_javascript_statements(rows):
+    bad = "eval(a\nfoo(;b\n"
+    src = rows([("f.js", SCRIPT), ("bad.js", bad), (None, "eval(x)"), ("n.js", None), ("e.js", ""), ("f.js", SCRIPT)], "file_path string, source string")
+    got = [(r["file_path"], r["line"], r["code"].replace("\f", "|")) for r in J.statements(src).orderBy("file_path", "seq").collect()]
+    assert got == [
+        (None, 1, "eval(x)"), ("bad.js", 1, "eval(a"), ("bad.js", 2, "foo(;"), ("bad.js", 2, "b"),
+        ("f.js", 1, "const express = require('express');"), ("f.js", 2, "app.get('/user', (req, res) => {"), ("f.js", 3, "const id = req.query.id;"),
+        ("f.js", 4, 'const q = "SELECT * FROM users WHERE id = "|+ id|+ `x| ${ id }`;'), ("f.js", 9, "db.query(|q,|{ a: 1,|b: [2,|3] });"),
+        ("f.js", 14, "if (a) {"), ("f.js", 14, "el.innerHTML = id;"), ("f.js", 14, "el.outerHTML = 'x';"), ("f.js", 14, "}"), ("f.js", 15, "switch (x) {"),
+        ("f.js", 15, "case 'a:b':"), ("f.js", 15, "{"), ("f.js", 15, "eval(id)"), ("f.js", 15, "} default:"), ("f.js", 15, "f(/[\"'(]/g);"), ("f.js", 15, "}"),
+        ("f.js", 16, "});"), ("f.js", 18, "const T = ({ a }) => (|<div dangerouslySetInnerHTML={{|__html: a }} />|);"), ("f.js", 22, "eval('1'), eval(|id)")]
+    found = {(r["file_path"], r["line"], r["signal_name"], r["taint_state"]) for r in J.javascript_signals(src).collect()}
+    assert found == {
+        (None, 1, "eval", None), ("bad.js", 1, "eval", None), ("f.js", 9, "db.query", "TAINTED"), ("f.js", 14, "element.innerHTML", "TAINTED"),
+        ("f.js", 15, "eval", "TAINTED"), ("f.js", 19, "dangerouslySetInnerHTML", None), ("f.js", 22, "eval", "TAINTED")}
+    assert J.javascript_signals(src.limit(0)).count() == 0
+
+
+JS_STATES = [  # (source, state of the last sink; "none" where there is no signal)
+    ("const a = location.hash;\nconst b = 'x';\nel.innerHTML = a + b;", "TAINTED"),
+    ("const a = location.hash;\nconst b = 'x';\nel.innerHTML = b + a;", "TAINTED"),
+    ("const a = 'y';\nconst b = 'x';\nel.innerHTML = `<p>${a} and ${b}</p>`;", "none"),
+    ("const a = encodeURIComponent(location.hash);\nconst b = 'x';\nel.innerHTML = a + b;", "none"),
+    ("const a = encodeURIComponent(location.hash);\nconst b = f('x');\nel.innerHTML = a + b;", None),
+    ("const b = 'x';\nel.innerHTML = b + o.p;", None),
+    ("const a = location.hash;\nel.innerHTML = c ? a : 'x';", "TAINTED"),
+    ("let a = location.hash;\na = 'x';\nel.innerHTML = a;", "none"),
+    ("const id = req.query.id;\nconst q = \"SELECT \" + Number(id);\ndb.query(q);", "none"),
+    ("const id = req.query.id;\nconst q = \"SELECT \" +\n  id;\ndb.query(q);", "TAINTED"),
+    ("const cp = require('child_process');\nif (x) { cp.exec('ls'); cp.exec(`ls ${req.body.d}`); }", "TAINTED"),
+    ("".join(f"const v{i + 1} = v{i};\n" for i in range(7)).replace("v0", "location.search", 1) + "eval(v7);", "TAINTED"),
+]
+
+
+def test_javascript_states(rows):
+    src = rows([(f"f{i:02d}.js", x[0]) for i, x in enumerate(JS_STATES)], "file_path string, source string")
+    got = {r["file_path"]: r["taint_state"] for r in J.javascript_signals(src).collect()}
+    assert [(got.get(f"f{i:02d}.js", "none"), x[0]) for i, x in enumerate(JS_STATES)] == [(x[1], x[0]) for x in JS_STATES]

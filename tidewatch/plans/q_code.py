@@ -101,6 +101,44 @@ def _(spark, d):
         "file_path", "line", "signal_type", "signal_name", "category", "severity")
 
 
+# What follows a page's own script (which sets t to a string) and the sinks in it, by lines after the script.
+PAGE_SCRIPTS = [
+    ("if (a) {\n  el.innerHTML = \"<b>\"\n    + t;\n}\n", []),
+    ("const u =\n  location.hash;\nel.innerHTML = `<b>\n${u}`; el.outerHTML = t; document.write(\n  u + t\n);\n",
+     [(3, "dom_xss_call", "element.innerHTML"), (4, "dom_xss_call", "document.write")]),
+    ("get('/x', (req, res) => {\n  const q = 'SELECT '\n    + t\n    + req.query.id;\n  db.query(\n    q, /* ( */\n    [t]);\n});\n",
+     [(5, "unsafe_database_execution", "db.query")]),
+    ("eval(t), eval(\n  name); eval('1')\n  || eval(t + name)\n",
+     [(1, "dynamic_code_execution", "eval"), (3, "dynamic_code_execution", "eval")]),
+]
+
+
+def page_scripts(spark, d):
+    return B.table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<script>(.*?)</script>", 1).alias("script"))
+
+
+@query(
+    "javascript_page_statements",
+    """WITH s AS (SELECT page_id, unnest(string_split(regexp_extract(html, '(?s)<script>(.*?)</script>', 1), ';')) AS x FROM pages)
+       SELECT page_id, x || ';' AS code, 1 AS line, count(*) AS n FROM s WHERE x <> '' GROUP BY ALL""",
+)
+def _(spark, d):
+    src = page_scripts(spark, d).select(F.col("page_id").cast("string").alias("file_path"), F.col("script").alias("source"))
+    return J.statements(src).groupBy(F.col("file_path").cast("long").alias("page_id"), "code", "line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "javascript_page_rules",
+    "WITH e(k, line, signal_type, signal_name) AS (VALUES "
+    + ", ".join(f"({i}, {n + 1}, {_q(t)}, {_q(x)})" for i, (_, found) in enumerate(PAGE_SCRIPTS) for n, t, x in found)
+    + f") SELECT page_id, e.line, signal_type, signal_name FROM pages JOIN e ON e.k = page_id % {len(PAGE_SCRIPTS)}",
+)
+def _(spark, d):
+    after = F.element_at(F.array(*[F.lit(t) for t, _ in PAGE_SCRIPTS]), (F.col("page_id") % len(PAGE_SCRIPTS) + 1).cast("int"))
+    src = page_scripts(spark, d).select(F.col("page_id").cast("string").alias("file_path"), F.concat("script", F.lit("\n"), after).alias("source"))
+    return J.javascript_signals(src).select(F.col("file_path").cast("long").alias("page_id"), "line", "signal_type", "signal_name")
+
+
 @query(
     "code_findings",
     expected(PY, ".py", 7) + """ SELECT CASE signal_type """ + " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in X.SIGNAL_TITLES.items())
