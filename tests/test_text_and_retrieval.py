@@ -134,3 +134,21 @@ def test_ranking_does_not_depend_on_partitioning(spark, rows):
     df = rows([(1, f"d{i}", f"text {i % 7}", i, "ast", ["text"], ["text"], {"document_type": "function_structure"}) for i in range(40)], META)
     run = lambda x: [(r["document_id"], r["rank"]) for r in R.rank_context(x, ["scope"], [F.col("pos")], 5).orderBy("rank").collect()]
     assert run(df) == run(df.repartition(7, "document_id")) and len(run(df)) == 5
+
+
+def test_counters_follow_ids_then_texts(rows):
+    found = rows([
+        ("q", "knowledge", "1", "same text", {"a": "x"}, 0.1), ("q", "code", "2", "same  text", {}, 0.2), ("q", "code", "3", " ", {}, 0.3), ("q", "knowledge", "4", "", {}, 0.4),
+        ("q", "code", "1", "other", {}, 0.0), ("p", "code", "9", "t", {}, 0.0)],
+        "query_id string, collection string, document_id string, content string, metadata map<string,string>, distance double")
+    position = [F.col("collection") == "knowledge", F.col("distance"), F.col("document_id")]
+    got = {r["query_id"]: tuple(r)[1:] for r in R.retrieval_counters(found, ["query_id"], position).collect()}
+    kept = {r["query_id"]: r["count"] for r in R.deduplicate(found, ["query_id"], position).groupBy("query_id").count().collect()}
+    assert got == {"q": (3, 2, kept["q"]), "p": (1, 0, 1)}
+
+
+def test_documents_of_evidence(rows):
+    docs = rows([("s", "e", i) for i in range(25)] + [("s", "", 1), ("s", None, 2), ("t", "e", 3)], "scope string, evidence_id string, at int")
+    found = rows([("s", "e"), ("s", "e"), ("s", ""), ("s", None), ("t", "f")], "scope string, evidence_id string")
+    got = R.evidence_documents(docs, found, ["scope"], [F.col("at")]).collect()
+    assert sorted(tuple(r) for r in got) == [("s", "e", i) for i in range(20)]

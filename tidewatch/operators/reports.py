@@ -180,6 +180,21 @@ FAMILIES = [
      "node.textContent = value;"),
 ]
 # Field bounds of an explanation.
+# General advice by weakness, from the families above.
+GENERAL_ADVICE = {f[1]: f[4] for f in FAMILIES}
+# Fixed value: the note that goes with general advice.
+ADVICE_NOTE = "General security guidance — verify against your specific application context and architecture."
+
+
+def remediation_guidance(remediation: str | Column, recommendation: str | Column, cwe: str | Column, table: dict[str, str] | None = None) -> Column:
+    """PRJ-18: the finding's own advice, else that of its weakness, else NULL. An
+    empty remediation gives way to the recommendation; a blank one does not."""
+    own = F.nullif(T.strip(F.coalesce(F.nullif(T.col(remediation), F.lit("")), T.col(recommendation))), F.lit(""))
+    general = lookup(cwe, GENERAL_ADVICE if table is None else table)
+    return F.when(own.isNotNull() | general.isNotNull(), F.struct(
+        F.coalesce(own, general).alias("text"), own.isNotNull().alias("is_specific"), F.when(own.isNull(), F.lit(ADVICE_NOTE)).alias("note")))
+
+
 BOUNDS = {"summary": 300, "why_it_matters": 1000, "evidence_explanation": 800, "attack_scenario": 1000, "remediation": 1000, "safer_pattern": 1200, "limitations": 400}
 MAX_REFERENCES, MAX_REFERENCE = 5, 120
 

@@ -222,10 +222,8 @@ def hybrid_context(queries: DataFrame, vectors: DataFrame, documents: DataFrame,
     ``queries``: (query_id, query_text, embedding); ``documents``: (collection,
     document_id, content, metadata). Only the nearest candidates are joined to
     texts, so the texts of a query's candidates, never all pairs, are scored."""
-    hits = knn(queries, vectors, top_k)
     q = queries.select(F.col("query_id").cast("string").alias("query_id"), T.tokens("query_text").alias("query_tokens"))
-    d = documents.withColumn("document_id", F.col("document_id").cast("string"))
-    rows = hits.join(d, ["collection", "document_id"]).join(q, "query_id").withColumns({
+    rows = candidates(queries, vectors, documents, top_k).join(q, "query_id").withColumns({
         "content_tokens": T.tokens("content"),
         "default_category": F.when(F.col("collection") == "knowledge", "security_knowledge").otherwise("ast"),
     })
@@ -234,6 +232,35 @@ def hybrid_context(queries: DataFrame, vectors: DataFrame, documents: DataFrame,
     return sections(balanced(ranked, ["query_id"], top_k))
 
 
+def candidates(queries: DataFrame, vectors: DataFrame, documents: DataFrame, top_k: int) -> DataFrame:
+    """The nearest documents of every query with their texts, before ranking."""
+    d = documents.withColumn("document_id", F.col("document_id").cast("string"))
+    return knn(queries, vectors, top_k).join(d, ["collection", "document_id"])
+
+
+def retrieval_counters(found: DataFrame, scope: Sequence[str], position: Sequence[Column], meta: str = "metadata") -> DataFrame:
+    """AGR-32: per scope the results of each collection before duplicates go, and how
+    many stay by id and then by text (``deduplicate``). One pass: the rows of an id,
+    then the ids of a text, then the texts of a scope are counted; ``position`` must
+    be ascending."""
+    code = (F.col("collection") != "knowledge").cast("int")
+    fp = T.content_fingerprint("content")
+    key = F.when(fp == "", F.concat(F.lit("id_fp_"), "document_id")).otherwise(F.concat(F.sha2(fp, 256), F.length(fp).cast("string")))
+    rows = found.select(*scope, "document_id", code.alias("_code"), key.alias("_fp"), F.struct(-T.metadata_completeness(meta), *position).alias("_order"))
+    ids = rows.groupBy(*scope, "document_id").agg(F.sum("_code").alias("_code"), F.count(F.lit(1)).alias("_all"), F.min_by("_fp", "_order").alias("_fp"))
+    texts = ids.groupBy(*scope, "_fp").agg(F.sum("_code").alias("_code"), F.sum("_all").alias("_all"))
+    return texts.groupBy(*scope).agg(
+        F.sum("_code").alias("ast_result_count"), F.sum(F.col("_all") - F.col("_code")).alias("knowledge_result_count"),
+        F.count(F.lit(1)).alias("deduplicated_count"))
+
+
+def evidence_documents(documents: DataFrame, findings: DataFrame, scope: Sequence[str], position: Sequence[Column], cap: int = MAX_CONTEXT) -> DataFrame:
+    """JOI-09: documents whose evidence id a finding of their scope has, the first
+    ``cap`` of each scope by ``position``; ids that are null or empty match nothing."""
+    keys = findings.filter(F.coalesce("evidence_id", F.lit("")) != "").select(*scope, "evidence_id")
+    return top_n(documents.join(keys, [*scope, "evidence_id"], "left_semi"), list(scope), list(position), cap)
+
+
 def context_counts(context: DataFrame) -> DataFrame:
     """AGR-31: documents per query and source category."""
     cat = F.col("source_category")

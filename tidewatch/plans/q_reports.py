@@ -154,6 +154,24 @@ def _(spark, d):
     return spark.read.parquet(path).drop(S.BUCKET)
 
 
+@query(
+    "remediation_guidance",
+    """WITH r AS (SELECT p_partkey, CASE p_size % 5 WHEN 0 THEN '  ask ' || p_brand WHEN 1 THEN '' WHEN 2 THEN '   ' END AS own, CASE WHEN p_size % 3 = 0 THEN p_brand || chr(10) END AS rec,
+         CASE p_size % 4 WHEN 0 THEN 'CWE-89' WHEN 1 THEN 'CWE-78' WHEN 2 THEN 'CWE-1' END AS cwe FROM part),
+       t AS (SELECT *, CASE WHEN own IS NULL OR own = '' THEN rec ELSE own END AS s FROM r)
+       SELECT p_partkey, CASE WHEN trim(s, ' ' || chr(10)) <> '' THEN trim(s, ' ' || chr(10)) WHEN cwe = 'CWE-89' THEN 'Keep the statement' WHEN cwe = 'CWE-78' THEN 'Start the program d' END AS head,
+         CASE WHEN trim(s, ' ' || chr(10)) <> '' THEN true WHEN cwe IN ('CWE-89', 'CWE-78') THEN false END AS is_specific FROM t""",
+)
+def _(spark, d):
+    n = F.col("p_size")
+    rows = B.table(spark, d, "part").select(
+        "p_partkey", F.when(n % 5 == 0, F.concat(F.lit("  ask "), "p_brand")).when(n % 5 == 1, "").when(n % 5 == 2, "   ").alias("own"),
+        F.when(n % 3 == 0, F.concat("p_brand", F.lit("\n"))).alias("rec"), F.when(n % 4 == 0, "CWE-89").when(n % 4 == 1, "CWE-78").when(n % 4 == 2, "CWE-1").alias("cwe"))
+    g = rows.select("p_partkey", R.remediation_guidance("own", "rec", "cwe").alias("g"))
+    head = F.when(F.col("g.is_specific"), F.col("g.text")).otherwise(F.regexp_extract("g.text", r"^(Keep the statement|Start the program d)", 1))
+    return g.select("p_partkey", head.alias("head"), "g.is_specific")
+
+
 @query(
     "sink_ingest_documents",
     """SELECT doc_id || '_' || lang AS document_id, length(text) AS n FROM documents WHERE lang <> 'de'""",

@@ -287,6 +287,32 @@ def _(spark, d):
     return R.context_counts(hybrid(spark, d))
 
 
+@query(
+    "retrieval_counters",
+    HYBRID + """SELECT CAST(item_id AS VARCHAR) AS query_id, count(*) FILTER (WHERE collection <> 'knowledge') AS ast_result_count,
+      count(*) FILTER (WHERE collection = 'knowledge') AS knowledge_result_count, count(DISTINCT fp) AS deduplicated_count FROM cand GROUP BY 1""",
+    ("kdocs",),
+)
+def _(spark, d):
+    k = B.knowledge_documents(spark, d).withColumn("document_id", F.col("doc_id").cast("string"))
+    q = B.table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), E.embed("text").alias("embedding"))
+    found = R.candidates(q, k.select("collection", "document_id", E.embed("content").alias("embedding")), k.select("collection", "document_id", "content", "metadata"), 15)
+    return R.retrieval_counters(found, ["query_id"], [F.col("collection") == "knowledge", F.col("distance"), F.col("document_id")])
+
+
+@query(
+    "evidence_documents",
+    """SELECT l_suppkey AS analysis_id, CAST(l_partkey AS VARCHAR) AS evidence_id, l_orderkey, l_linenumber FROM lineitem
+       WHERE (l_suppkey, l_partkey) IN (SELECT (l_suppkey, l_partkey) FROM lineitem WHERE l_discount > 0.05)
+       QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) <= 20""",
+)
+def _(spark, d):
+    rows = B.table(spark, d, "lineitem").select(
+        F.col("l_suppkey").alias("analysis_id"), F.col("l_partkey").cast("string").alias("evidence_id"), "l_orderkey", "l_linenumber", "l_discount")
+    found = R.evidence_documents(rows.drop("l_discount"), rows.filter("l_discount > 0.05"), ["analysis_id"], [F.col("l_orderkey"), F.col("l_linenumber")])
+    return found.select("analysis_id", "evidence_id", "l_orderkey", "l_linenumber")
+
+
 @query(
     "global_rank_top10",
     """SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rank FROM documents QUALIFY rank <= 10""",
