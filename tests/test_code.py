@@ -65,6 +65,17 @@ def test_changed_file_match(rows):
     assert {r["path"]: r["target"] for r in X.match_changed_file(p, c, ["pr"]).collect()} == {"src/a.py": "a.py", "b.py": "lib/b.py", "x/c.py": "x/c.py"}
 
 
+def test_files_of_comments_are_not_broadcast(rows):
+    f = rows([(1, "./repo/src/a.py", 3), (1, "a.py", 3), (1, "b.py", 3), (1, "", 3), (2, "src/a.py", 3), (2, "a.py", 4)], "pr int, file_path string, line int")
+    c = rows([(1, "src/a.py", 2), (1, "a.py", 1), (1, "lib/b.py", 3), (1, "", 4), (2, "src/a.py", 1), (2, "src/a.py", 0)], "pr int, filename string, file_order int")
+    added = rows([(1, "src/a.py", 3), (1, "lib/b.py", 3), (1, "a.py", 3), (2, "src/a.py", 3)], "pr int, target string, line int")
+    out = X.inline_commentable(f, c, added, ["pr"])
+    # the frames of suffixes and lines are larger than they look
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["pr"], r["path"], r["target"]) for r in out.collect()) == [
+        (1, "a.py", "a.py"), (1, "b.py", "lib/b.py"), (1, "repo/src/a.py", "a.py"), (2, "src/a.py", "src/a.py")]
+
+
 STATES = ["STATIC", "TAINTED", "SANITIZED", "UNVERIFIED_DYNAMIC", "UNKNOWN"]
 
 
