@@ -191,6 +191,30 @@ def test_reading_sources(spark, tmp_path):
     assert got == {"a.py": (None, "x = 1\n"), "b.py": ("binary", None), "c.py": ("binary", None)}
 
 
+def test_texts_of_any_language_are_no_binaries(spark):
+    from pyspark.sql import functions as F
+
+    texts = {"a": "çéà ñ".encode(), "b": b"\x00" + "é".encode(), "c": bytes(range(128, 256)), "d": "\x01\x02\x03é".encode(), "e": b"", "f": None}
+    df = spark.createDataFrame([(k, 1, bytearray(v) if v is not None else None) for k, v in texts.items()], "path string, size long, content binary")
+    got = {r["path"]: (r["skip"], r["source"]) for r in P.read_sources(df, any_language=True).collect()}
+    assert got == {"a": (None, "çéà ñ"), "b": ("binary", None), "c": ("binary", None), "d": ("binary", None), "e": (None, ""), "f": (None, None)}
+    assert P.read_sources(df).filter("path = 'a'").select(F.col("skip")).collect()[0][0] == "binary"
+
+
+def test_source_decoding_of_odd_pages(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    pages = [(1, "http://a", "çéàñ" * 9), (2, "1234567", "çéàñ"), (3, "1234567", None), (4, "http://a", None), (5, None, "abc"), (6, "http://a", "x" * 1_000_001), (7, "1234567", "x" * 1_000_001), (8, "1", "")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    got = entry.queries()["source_decoding"](spark, str(tmp_path)).collect()
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+        want = con.sql(entry.oracle_sql()["source_decoding"]).fetchall()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(want) == len(pages)
+
+
 FLOWS = [  # (source, state of the argument of the last call)
     ("def f(a):\n    if a:\n        q = 'x'\n    else:\n        q = 'y'\n    g(q)\n", "STATIC"),
     ("def f(a):\n    q = request.args['q']\n    if a:\n        q = 'x'\n    else:\n        q = 'y'\n    g(q)\n", "STATIC"),

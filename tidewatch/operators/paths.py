@@ -114,13 +114,25 @@ def non_text_share(content: Column) -> Column:
     return F.when(F.coalesce(F.octet_length(content), F.lit(0)) == 0, 0.0).when(as_text.contains("\x00"), 1.0).otherwise(odd / F.octet_length(content))
 
 
-def read_sources(files: DataFrame, max_bytes: int | None = None, probe_bytes: int | None = None) -> DataFrame:
+def control_share(content: Column) -> Column:
+    """:func:`non_text_share` for texts of any language: in well-formed UTF-8 only
+    control characters are no text; other bytes count as there."""
+    text = content.cast("string")
+    odd = F.length(F.regexp_replace(text, r"[^\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""))
+    well_formed = F.coalesce(F.is_valid_utf8(text) & (F.octet_length(content) > 0) & ~text.contains("\x00"), F.lit(False))
+    return F.when(well_formed, odd / F.octet_length(content)).otherwise(non_text_share(content))
+
+
+def read_sources(files: DataFrame, max_bytes: int | None = None, probe_bytes: int | None = None, any_language: bool = False) -> DataFrame:
     """SRC-04: decode file bytes; ``skip`` says why a file is not read. Expects
     (path, size, content). Bytes that are not UTF-8 become replacement
-    characters. All sizes and the whole content count unless bounds are given."""
+    characters. All sizes and the whole content count unless bounds are given.
+    By default every byte beyond ASCII speaks for a binary file, as in source
+    code; with ``any_language`` well-formed UTF-8 does not."""
     probe = F.col("content") if probe_bytes is None else F.substring("content", 1, probe_bytes)
     large = F.lit(None).cast("string") if max_bytes is None else F.when(F.col("size") > max_bytes, "too_large")
-    out = files.withColumn("skip", F.coalesce(large, F.when(non_text_share(probe) > 0.30, "binary")))
+    share = control_share(probe) if any_language else non_text_share(probe)
+    out = files.withColumn("skip", F.coalesce(large, F.when(share > 0.30, "binary")))
     return out.withColumn("source", F.when(F.col("skip").isNull(), F.make_valid_utf8(F.col("content").cast("string"))))
 
 
