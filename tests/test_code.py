@@ -65,6 +65,33 @@ def test_changed_file_match(rows):
     assert {r["path"]: r["target"] for r in X.match_changed_file(p, c, ["pr"]).collect()} == {"src/a.py": "a.py", "b.py": "lib/b.py", "x/c.py": "x/c.py"}
 
 
+def test_lines_meet_spans_over_block_borders(rows):
+    spans = [(i, "f" if i % 3 else "g", f"n{i % 7}", None if i % 2 else "K", s, s + 7 * (i % 90)) for i, s in enumerate(range(1, 1400, 5))] + [(999, "f", "long", None, 1, 100_000), (998, "f", "none", None, 9, 3)]
+    points = [(f, x) for f in "fgh" for x in range(1, 2000, 17)] + [("f", 255), ("f", 256), ("f", 257), ("f", 99_999)]
+    fn = rows(spans, "i int, file string, name string, class_name string, start_line int, end_line int").drop("i")
+    ln = rows(points, "file string, line long")
+    want = set()
+    for f, x in points:
+        inside = [s for s in spans if s[1] == f and s[4] <= x <= s[5]]
+        if inside:
+            b = min(inside, key=lambda s: (s[5] - s[4], -s[4], s[2], s[3] or ""))
+            want.add((f, x, *b[2:]))
+    out = X.tightest_scope(ln, fn, ["file"])
+    assert {tuple(r) for r in out.collect()} == want
+    plan = out._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Generate explode") == 1  # a line is one row of the join
+    assert "Broadcast" not in plan.executedPlan().toString()
+    found = rows([(i, *p) for i, p in enumerate(points)] + [(-1, "f", None), (-2, "new", 3)], "id int, file string, line int")
+    files = rows([(f, 2000) for f in "fgh"], "file string, total_lines int")
+    few = ln.filter("line % 3 = 0")
+    sc = X.changed_scopes(few, fn, files, ["file"])
+    held = [r for r in sc.collect() if r["scope_type"] != "module"]
+    marks = {tuple(r) for r in few.collect()}
+    keep = {i for i, (f, x) in enumerate(points) if (f, x) in marks or any(r["file"] == f and r["start_line"] <= x <= r["end_line"] for r in held)} | {-1, -2}
+    got = [r["id"] for r in X.filter_to_diff(found, sc, few, ["file"]).collect()]
+    assert sorted(got) == sorted(keep)
+
+
 def test_files_of_comments_are_not_broadcast(rows):
     f = rows([(1, "./repo/src/a.py", 3), (1, "a.py", 3), (1, "b.py", 3), (1, "", 3), (2, "src/a.py", 3), (2, "a.py", 4)], "pr int, file_path string, line int")
     c = rows([(1, "src/a.py", 2), (1, "a.py", 1), (1, "lib/b.py", 3), (1, "", 4), (2, "src/a.py", 1), (2, "src/a.py", 0)], "pr int, filename string, file_order int")

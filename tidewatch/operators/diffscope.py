@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
-from tidewatch.operators.intervals import LINES_TOP, containing
+from tidewatch.operators.intervals import blocked
 from tidewatch.operators.ranking import once
 
 # The hunk header and the line separators.
@@ -87,21 +87,27 @@ def changed_lines(patches: DataFrame, key: str = "diff_id", text: str = "patch")
     return arrays.select(key, F.explode(F.concat(*[marks(k) for k in ("added", "deleted", "affected")])).alias("_m")).select(key, "_m.kind", "_m.line")
 
 
-def scoped_lines(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
+def scoped_lines(lines: DataFrame, functions: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """JOI-11 / RNK-06: every changed line with its innermost function (shortest
-    span, then latest start); NULL outside all functions. A grouped minimum over
-    an outer join, so no window spans a file and the lines are read once."""
-    hits = containing(lines, functions, keys, "line", "start_line", "end_line", how="left", top=LINES_TOP)
-    f = F.struct("name", "class_name", "start_line", "end_line")
-    order = F.when(F.col("start_line").isNotNull(), F.struct(
-        F.col("end_line") - F.col("start_line"), -F.col("start_line"), F.col("name"), F.col("class_name")))
-    best = hits.groupBy(*keys, "line").agg(F.min_by(f, order).alias("s"))
+    span, then latest start); NULL outside all functions, no row there with
+    ``how="inner"``. A grouped minimum over a join on blocks of lines, so no window
+    spans a file; a line is in one block, so its rows already meet in one task."""
+    p, i = blocked(lines, functions, "line", "start_line", "end_line")
+    p, i = p.alias("p"), i.alias("i")
+    same = F.col("p._block") == F.col("i._block")
+    for k in keys:
+        same = same & (F.col(f"p.{k}") == F.col(f"i.{k}"))
+    hits = p.join(i, same & F.col("p.line").between(F.col("i.start_line"), F.col("i.end_line")), how)
+    f = F.struct("i.name", "i.class_name", "i.start_line", "i.end_line")
+    order = F.when(F.col("i.start_line").isNotNull(), F.struct(
+        F.col("i.end_line") - F.col("i.start_line"), -F.col("i.start_line"), F.col("i.name"), F.col("i.class_name")))
+    best = hits.groupBy(*[F.col(f"p.{k}") for k in keys], F.col("p._block"), F.col("p.line")).agg(F.min_by(f, order).alias("s"))
     return best.select(*keys, "line", "s.*")
 
 
 def tightest_scope(lines: DataFrame, functions: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The changed lines that lie in a function, with that function."""
-    return scoped_lines(lines, functions, keys).filter("start_line IS NOT NULL")
+    return scoped_lines(lines, functions, keys, "inner")
 
 
 def changed_scopes(lines: DataFrame, functions: DataFrame, files: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -124,16 +130,19 @@ def changed_scopes(lines: DataFrame, functions: DataFrame, files: DataFrame, key
 def filter_to_diff(findings: DataFrame, scopes: DataFrame, lines: DataFrame, keys: Sequence[str]) -> DataFrame:
     """FLT-14 / JOI-12: keep findings on a changed line or inside a changed
     function; findings without a line, and files without any change record, stay.
-    ``scopes`` come from ``lines``, so the files of ``scopes`` are all files touched."""
-    touched = scopes.select(*keys).distinct().withColumn("_touched", F.lit(True))
-    at = findings.filter("line IS NOT NULL").select(*keys, "line").distinct()
-    kind = at.schema["line"].dataType
+    ``scopes`` come from ``lines``, so the files of ``lines`` are all files touched."""
+    placed = findings.filter("line IS NOT NULL")
+    untouched = placed.join(lines.select(*keys).distinct().hint("merge"), list(keys), "left_anti")
     # a changed line is an interval of length one: one join answers both rules
     spans = scopes.filter("scope_type <> 'module'").select(*keys, F.col("start_line").alias("_s"), F.col("end_line").alias("_e"))
     spans = spans.unionByName(lines.select(*keys, F.col("line").alias("_s"), F.col("line").alias("_e")))
-    ok = containing(at, spans, keys, "line", "_s", "_e", top=LINES_TOP).select(*keys, F.col("line").cast(kind).alias("line")).distinct().withColumn("_ok", F.lit(True))
-    rows = findings.join(touched, list(keys), "left").join(ok, [*keys, "line"], "left")
-    return rows.filter("_touched IS NULL OR line IS NULL OR _ok").drop("_touched", "_ok")
+    p, i = blocked(placed, spans, "line", "_s", "_e")
+    i = i.withColumnsRenamed({c: f"_i_{c}" for c in (*keys, "_block")})
+    same = (F.col("_block") == F.col("_i__block")) & F.col("line").between(F.col("_s"), F.col("_e"))
+    for k in keys:
+        same = same & (F.col(k) == F.col(f"_i_{k}"))
+    inside = p.join(i, same, "left_semi").drop("_block")
+    return findings.filter("line IS NULL").unionByName(untouched).unionByName(inside)
 
 
 def match_changed_file(paths: DataFrame, changed: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 TOP = 11  # highest level; blocks there cover 4**11 positions, repeated as often as needed
 #: For lines of source files: blocks of up to 1,024 lines; longer spans take several.
 LINES_TOP = 5
+#: Lines of a block where each interval is listed in all blocks it touches.
+LINE_BLOCK = 256
 
 
 def _run(lo: str, hi: str) -> str:
@@ -50,3 +52,15 @@ def containing(
     i = intervals.filter(F.col(start) <= F.col(end)).select("*", F.explode_outer(_blocks(start, end, top)).alias("_in")).select(
         "*", F.col("_in.level").alias("_level"), F.col("_in.block").alias("_block")).drop("_in")
     return p.join(i, [*keys, "_level", "_block"], how).drop("_level", "_block")
+
+
+def blocked(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, width: int = LINE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Points and intervals with ``_block``, for a join on it and on a key, with the
+    range as a further condition: a point is one row, an interval one row for each
+    block of ``width`` positions it touches. For lines of source files, whose
+    spans rarely leave a block. The rows of intervals are made here, so Spark
+    takes them for fewer than they are: they are merged, never broadcast."""
+    p = points.withColumn("_block", F.floor(F.col(point) / width).cast("long"))
+    i = intervals.filter(F.col(start) <= F.col(end)).withColumn(
+        "_block", F.explode(F.sequence(F.floor(F.col(start) / width).cast("long"), F.floor(F.col(end) / width).cast("long"))))
+    return p, i.hint("merge")
