@@ -181,27 +181,43 @@ def identity(evidence_id: str = "evidence_id") -> Column:
 EVIDENCE = ["document_id", "line_start", "line_end", "signal_type", "signal_name"]
 
 
-def merge_findings(findings: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
+def _identity_name(scope: Sequence[str]) -> Column:
+    """128-bit name of scope and identity, NULL told apart from any text. Groups
+    and joins send it instead of the texts, and it is never NULL."""
+    marked = [F.coalesce(F.concat(F.octet_length(F.col(c).cast("string")).cast("string"), F.lit(":"), F.col(c).cast("string")), F.lit("-")) for c in scope]
+    return F.unhex(F.md5(F.concat(*marked, identity()))).alias("_name")
+
+
+HEAD = ["title", "description", "category", "file_path", "line", *EVIDENCE]
+
+
+def merge_findings(findings: DataFrame, scope: Sequence[str], position: Sequence[str], fields: Sequence[str] | None = None) -> DataFrame:
     """AGR-08: one row per identity. Severity and confidence are the strongest
     seen, every other field comes from the first row by ``position``. All are
     grouped maxima and minima, so partial aggregation always runs before the
-    shuffle."""
-    head = ["title", "description", "category", "file_path", "line", *EVIDENCE]
-    keyed = findings.select(*scope, identity(), severity_rank().alias("_s"), confidence_rank().alias("_c"), F.struct(*position).alias("_p"), *head)
-    out = keyed.groupBy(*scope, "identity").agg(
-        F.max("_s").alias("_sev"), F.max("_c").alias("_conf"), F.count(F.lit(1)).alias("merged_rows"),
-        F.min_by(F.struct(*head, F.col("_p").alias("_first")), "_p").alias("_head"),
-    )
-    return out.select(
-        *scope, "identity", "_head.*", _name("_sev", SEVERITY_RANK).alias("severity"), _name("_conf", CONFIDENCE_RANK).alias("confidence"), "merged_rows")
+    shuffle. Each text travels once: the name of scope and identity is the key,
+    and the first row is the least struct of the position, then other fields.
+    ``fields`` names those that are wanted where not all (and the identity) are;
+    Spark cannot drop them from the struct by itself."""
+    whole, head = fields is None, HEAD if fields is None else list(fields)
+    row = list(dict.fromkeys([*position, *head, *(["evidence_id", *HEAD] if whole else [])]))
+    keyed = findings.select(
+        *scope, _identity_name(scope), severity_rank().alias("_s"), confidence_rank().alias("_c"), F.struct(*row).alias("_row"))
+    out = keyed.groupBy("_name").agg(
+        *[F.min(c).alias(c) for c in scope], F.max("_s").alias("_sev"), F.max("_c").alias("_conf"), F.count(F.lit(1)).alias("merged_rows"), F.min("_row").alias("_row"))
+    of = lambda c: F.col(f"_row.{c}").alias(c)
+    flat = out.select("_name", *scope, "_sev", "_conf", "merged_rows", *[of(c) for c in row if c not in scope])
+    return flat.select(
+        *scope, *([identity()] if whole else []), *head, F.struct(*position).alias("_first"), _name(F.col("_sev"), SEVERITY_RANK).alias("severity"),
+        _name(F.col("_conf"), CONFIDENCE_RANK).alias("confidence"), "merged_rows", "_name")
 
 
 def with_evidence_count(merged: DataFrame, findings: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Number of distinct evidence items of every merged finding, counted by two
-    grouped passes and joined back."""
-    items = findings.select(*scope, identity(), *EVIDENCE).groupBy(*scope, "identity", *EVIDENCE).agg(F.lit(1).alias("_one"))
-    n = items.groupBy(*scope, "identity").agg(F.count(F.lit(1)).alias("evidence_count"))
-    return join_same(merged, n, [*scope, "identity"])
+    grouped passes and joined back on the key of the merge."""
+    items = findings.select(_identity_name(scope), *EVIDENCE).distinct()
+    n = items.groupBy("_name").agg(F.count(F.lit(1)).alias("evidence_count"))
+    return merged.join(n, "_name").drop("_name")
 
 
 def merged_evidence(findings: DataFrame, scope: Sequence[str], position: Sequence[str]) -> DataFrame:
@@ -239,13 +255,12 @@ def gate(critical: str = "critical_count", high: str = "high_count", medium: str
 def report_rows(ranked: DataFrame, scope: Sequence[str]) -> DataFrame:
     """PRJ-12 / AGR-09: one report per scope with recounted severities (any
     severity outside the four counts as info) and the gate decision. The nested
-    list holds at most the capped number of findings."""
+    list holds at most the capped number of findings, with the fields there are."""
     sev = F.col("severity")
     four = ["critical", "high", "medium", "low"]
-    item = F.struct(
+    item = F.struct(*[c for c in (
         "rank", "finding_id", "title", "description", "severity", "confidence", "category", "file_path", "line",
-        "document_id", "line_start", "signal_type", "signal_name",
-    )
+        "document_id", "line_start", "signal_type", "signal_name") if c in ranked.columns])
     out = ranked.groupBy(*scope).agg(
         F.count(F.lit(1)).alias("total_findings"),
         *[F.count_if(sev == s).alias(f"{s}_count") for s in four],

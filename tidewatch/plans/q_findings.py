@@ -58,12 +58,16 @@ def normalized(spark, d):
     return X.normalize_findings(f)
 
 
-def merged(spark, d):
-    return X.merge_findings(normalized(spark, d), ["analysis_id"], POS_NORM)
+# what the order of a report and the texts made of it read
+FIELDS = ["title", "category", "document_id"]
 
 
-def reports(spark, d):
-    return X.report_rows(X.rank_findings(merged(spark, d), ["analysis_id"]), ["analysis_id"])
+def merged(spark, d, fields=FIELDS):
+    return X.merge_findings(normalized(spark, d), ["analysis_id"], POS_NORM, fields)
+
+
+def reports(spark, d, fields=FIELDS):
+    return X.report_rows(X.rank_findings(merged(spark, d, fields), ["analysis_id"]), ["analysis_id"])
 
 
 @query(
@@ -100,7 +104,7 @@ def _(spark, d):
 def _(spark, d):
     # one huge identity per (category, signal): every row of it merges into one finding
     f = normalized(spark, d).withColumn("evidence_id", F.concat_ws("/", F.lower("category"), "signal_type"))
-    out = X.with_evidence_count(X.merge_findings(f, [], POS_NORM), f, [])
+    out = X.with_evidence_count(X.merge_findings(f, [], POS_NORM, ["category", "signal_type"]), f, [])
     return out.select(F.lower("category").alias("category"), "signal_type", "evidence_count", "merged_rows", "severity")
 
 

@@ -18,10 +18,10 @@ from tidewatch.sources import bridge as B
 PRODUCT = "Tidewatch"
 
 
-def reports(spark, d):
+def reports(spark, d, fields=QF.FIELDS):
     a = B.analyses(spark, d).select("analysis_id", P.repo_id().alias("repository_id"), "pr_number",
                                     F.left(F.sha2(F.col("analysis_id").cast("string"), 256), F.lit(40)).alias("head_sha"))
-    return QF.reports(spark, d).join(a, "analysis_id").withColumn("analyzed_files", F.col("total_findings"))
+    return QF.reports(spark, d, fields).join(a, "analysis_id").withColumn("analyzed_files", F.col("total_findings"))
 
 
 BASE = QF.NORM + f""", lines AS (SELECT analysis_id,
@@ -88,7 +88,7 @@ def _(spark, d):
     ("analyses", "findings"),
 )
 def _(spark, d):
-    return R.notification(reports(spark, d), PRODUCT).select("analysis_id", "headline", "findings_text")
+    return R.notification(reports(spark, d, [*QF.FIELDS, "line", "line_start"]), PRODUCT).select("analysis_id", "headline", "findings_text")
 
 
 @query(
