@@ -84,6 +84,14 @@ def test_bounded_cleanup(spark, rows):
     assert empty.cleanup(due, order, 3) == 0 and empty.read("analyses") is None and empty.lookup("analyses", 1) is None and empty.vacuum() == 0
 
 
+def test_cleanup_without_a_limit_is_one_change(spark, rows):
+    t = tables(spark, rows)
+    due, order, before = F.col("at") <= 70, [F.col("at"), F.col("analysis_id")], t.snapshot().number
+    n = t.cleanup(due, order, None, ["findings"])
+    assert n == 9 - t.cleanup(due, order, 3) and t.snapshot().number == before + 1
+    assert {r[0] for r in got(t, "analyses")} == {8, 9, 10, 11} and {r[0] for r in got(t, "findings")} == {9, 10, 11}
+
+
 def test_lookups_read_one_bucket(spark, rows):
     t = tables(spark, rows, blooms={"analyses": ["status"]})
     for i in (0, 5, 11):

@@ -184,14 +184,18 @@ class LinkedTables:
         touched = self._touched(keys, columns)
         return self._rebuild(old, touched, self._without(old, touched, keys, names)) if touched and old.number else old
 
-    def cleanup(self, due: Column, order: Sequence[Column], limit: int, cascade: Sequence[str] | None = None) -> int:
+    def cleanup(self, due: Column, order: Sequence[Column], limit: int | None, cascade: Sequence[str] | None = None) -> int:
         """SNK-16: delete at most ``limit`` parents that are due, the first by
-        ``order``, in one change; the number of deleted rows. The limit bounds
-        what one call rewrites: call again until it returns 0."""
+        ``order``, in one change; the number of deleted rows. Call again until it
+        returns 0, or once with no limit: a call rewrites each bucket it touches,
+        so many small calls over all buckets write the whole table each time."""
         parents = self.read(self.parent)
         if parents is None:
             return 0
-        first = parents.filter(due).orderBy(*order).limit(limit).select(*self.links[self.parent])
+        first = parents.filter(due)
+        if limit is not None:
+            first = first.orderBy(*order).limit(limit)
+        first = first.select(*self.links[self.parent])
         n = first.count()
         if n:
             self.delete(first, cascade)
