@@ -72,6 +72,21 @@ def test_lease_streams_equal_a_plain_loop(spark):
         assert got == want
 
 
+def test_keys_of_a_shard_keep_their_own_records_over_micro_batches(spark, tmp_path):
+    rnd, src = random.Random(8), str(tmp_path / "in")
+    keys, ops = ["a", "b", "c", "d", "None", None], ["claim", "claim", "failure", "unknown", "success", "release"]
+    events = [(rnd.choice(keys), i, rnd.choice(ops), rnd.choice(["", "|http_500"]), T0 + i * 600 * S_) for i in range(300)]
+    schema = "key string, event_id long, op string, ref string, ts_us long"
+    for lo in range(0, 300, 100):
+        spark.createDataFrame(events[lo:lo + 100], schema).coalesce(1).write.mode("append").parquet(src)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src)
+    got = {r["event_id"]: r["result"] for r in L.run_to_table(L.dispatch_stream(stream, 3600, shards=2), "test-shards").collect()}
+    states, want = {}, {}
+    for k, i, op, ref, ts in events:
+        states[k], want[i] = fsm.dispatch(states.get(k), op, ts, ref, 3600)
+    assert got == want
+
+
 def test_bypass_ids(rows):
     assert [r[0] for r in rows([("",), (None,), ("NONE",), (" unknown ",), ("x",)], "k string").select(L.claims_bypass("k")).collect()] == [True] * 4 + [False]
 

@@ -16,6 +16,7 @@ from tidewatch.streaming import fsm
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _BATCH_ROUNDS = 4  # rounds between two checkpoints
+SHARDS = 2048  # groups of keys that share a call of a lease machine
 
 
 def claims_bypass(key: str) -> Column:
@@ -92,34 +93,44 @@ class ClaimProcessor(StatefulProcessor):
 
 
 class LeaseProcessor(StatefulProcessor):
-    """STR-03..06: one record per key; events of a micro-batch are applied in time order."""
+    """STR-03..06: one record per key; events of a micro-batch are applied in time
+    order. Rows come by shard, as a call and its frames cost more than a key's
+    few events: records are map entries of the shard, each read and written at
+    most once a micro-batch, and only where its key has events."""
 
     def __init__(self, step: Callable, ttl_seconds: int, width: int):
         self.step, self.ttl, self.width = step, ttl_seconds, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", "fields array<string>")
+        self.records = handle.getMapState("records", "key string", "fields array<string>")
 
-    def _load(self):
-        if not self.record.exists():
+    def _load(self, key):
+        found = self.records.getValue((key,))
+        if found is None:
             return None
-        f = list(self.record.get()[0])
+        f = list(found[0])
         f[-1] = int(f[-1])
         if self.width == 5:
             f[2] = int(f[2])
         return tuple(f)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, shard, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts_us", "event_id"], kind="stable")
-        state, results = self._load(), []
-        for op, ts, ref in zip(events["op"], events["ts_us"], events["ref"]):
-            state, result = self.step(state, op, int(ts), ref, self.ttl)
+        any_known = self.records.exists()
+        before, states, results = {}, {}, []
+        for key, op, ts, ref in zip(*(events[c].tolist() for c in ("key", "op", "ts_us", "ref"))):
+            if key not in states:
+                before[key] = states[key] = self._load(key) if any_known else None
+            states[key], result = self.step(states[key], op, ts, ref, self.ttl)
             results.append(result)
-        if state is None:
-            self.record.clear()
-        else:
-            self.record.update(([str(x) for x in state],))
-        yield pd.DataFrame({"key": str(key[0]), "event_id": events["event_id"].to_numpy(), "op": events["op"].to_numpy(), "result": results})
+        for key, state in states.items():
+            if state == before[key]:
+                continue
+            if state is None:
+                self.records.removeKey((key,))
+            else:
+                self.records.updateValue((key,), ([str(x) for x in state],))
+        yield pd.DataFrame({"key": [str(k) for k in events["key"]], "event_id": events["event_id"].to_numpy(), "op": events["op"].to_numpy(), "result": results})
 
     def close(self) -> None:
         pass
@@ -131,17 +142,19 @@ def claim_stream(events: DataFrame, ttl_seconds: int) -> DataFrame:
         statefulProcessor=ClaimProcessor(ttl_seconds), outputStructType="key string, accepted_us long", outputMode="Append", timeMode="None")
 
 
-def reservation_stream(events: DataFrame, ttl_seconds: int) -> DataFrame:
-    """``events``: (key, event_id, op, ts_us, ref)."""
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=LeaseProcessor(fsm.reservation, ttl_seconds, 3),
-        outputStructType="key string, event_id long, op string, result string", outputMode="Append", timeMode="None")
+def _lease_stream(events: DataFrame, processor: LeaseProcessor, shards: int) -> DataFrame:
+    return events.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType="key string, event_id long, op string, result string", outputMode="Append", timeMode="None")
 
 
-def dispatch_stream(events: DataFrame, ttl_seconds: int) -> DataFrame:
-    return events.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=LeaseProcessor(fsm.dispatch, ttl_seconds, 5),
-        outputStructType="key string, event_id long, op string, result string", outputMode="Append", timeMode="None")
+def reservation_stream(events: DataFrame, ttl_seconds: int, shards: int = SHARDS) -> DataFrame:
+    """``events``: (key, event_id, op, ts_us, ref). ``shards`` must stay the same for the life of a checkpoint."""
+    return _lease_stream(events, LeaseProcessor(fsm.reservation, ttl_seconds, 3), shards)
+
+
+def dispatch_stream(events: DataFrame, ttl_seconds: int, shards: int = SHARDS) -> DataFrame:
+    """As :func:`reservation_stream`."""
+    return _lease_stream(events, LeaseProcessor(fsm.dispatch, ttl_seconds, 5), shards)
 
 
 def run_to_table(stream: DataFrame, name: str) -> DataFrame:
