@@ -2,6 +2,7 @@
 
 import random
 
+import pandas as pd
 import pytest
 
 from tidewatch.session import shared_dir
@@ -99,3 +100,42 @@ def test_sessions(spark, tmp_path):
             want[i] = f"revoked {sum(1 for (k, _), e in live.items() if k == key and e > ts)}"
             live = {k: e for k, e in live.items() if k[0] != key}
     assert got == want and kept(spark, state, "sessions") == 1
+
+
+class CountedMap(dict):
+    """A map state that counts its calls; ``timers`` are those registered with its handle."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getMapState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def _counted(name):
+        def call(self, *args):
+            self.calls += 1
+            return getattr(dict, name)(self, *args)
+        return call
+
+    exists, containsKey, getValue, updateValue, removeKey = map(_counted, ("__len__", "__contains__", "get", "__setitem__", "__delitem__"))
+
+    def iterator(self):
+        self.calls += 1
+        return iter(list(self.items()))
+
+
+def frame(rows):
+    return iter([pd.DataFrame(rows, columns=["key", "event_id", "op", "ref", "ts_us"])])
+
+
+def test_sessions_call_the_state_store_per_session_not_per_event():
+    state, life = CountedMap(), C.SessionLife(60)
+    life.init(state)
+    rows = [("u", i, ("create", "lookup", "revoke")[i % 3], f"s{i % 2}", T0 + i * US) for i in range(300)] + [("u", 300, "create", "s9", T0 + 300 * US)]
+    (out,) = life.handleInputRows(("u",), frame(rows), None)
+    assert len(out) == 301 and set(state) == {("s9",)} and state.calls == 2 and len(state.timers) == 1
+    (out,) = life.handleInputRows(("u",), frame([("u", 301, "revoke_all", "", T0 + 301 * US)]), None)
+    assert out["result"].tolist() == ["revoked 1"] and not state

@@ -151,25 +151,29 @@ class SessionLife(_Timed):
         self.sessions = handle.getMapState("sessions", "session string", "expiry long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        # every call of the state store is a round trip: one reads all sessions, then only what changed is written
         events = self.in_order(rows)
-        results = []
-        for op, ts, ref in zip(events["op"], events["ts_us"], events["ref"]):
-            live = self.sessions.containsKey((ref,)) and int(ts) < self.sessions.getValue((ref,))[0]
+        before = {k[0]: v[0] for k, v in self.sessions.iterator()}
+        now, results = dict(before), []
+        for op, ts, ref in zip(*(events[c].tolist() for c in ("op", "ts_us", "ref"))):
+            live = ts < now.get(ref, ts)
             if op == "create":
-                expiry = int(ts) + self.ttl * fsm.US
-                self.sessions.updateValue((ref,), (expiry,))
-                self.wake(expiry)
+                now[ref] = ts + self.ttl * fsm.US
                 results.append("created")
             elif op == "lookup":
                 results.append("live" if live else "none")
             elif op == "revoke":
-                self.sessions.removeKey((ref,))
+                now.pop(ref, None)
                 results.append("revoked" if live else "noop")
             else:
-                gone = [(k, v[0]) for k, v in self.sessions.iterator()]
-                for k, _ in gone:
-                    self.sessions.removeKey(k)
-                results.append(f"revoked {sum(int(ts) < e for _, e in gone)}")
+                results.append(f"revoked {sum(ts < e for e in now.values())}")
+                now.clear()
+        for ref in before.keys() - now.keys():
+            self.sessions.removeKey((ref,))
+        for ref, expiry in now.items():
+            if before.get(ref) != expiry:
+                self.sessions.updateValue((ref,), (expiry,))
+                self.wake(expiry)
         yield self.answer(key, events, results)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
