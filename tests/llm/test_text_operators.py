@@ -6,6 +6,7 @@ import random
 import public_tokenizers
 import pytest
 import tiktoken
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 import plain
@@ -104,6 +105,19 @@ def test_document_of_a_short_item_goes(spark):
     assert [tuple(r) for r in decontam.decontaminate(docs, bench).collect()] == [(2, docs.collect()[1].text)]
 
 
+def test_one_block_is_scanned_and_cut_in_one_worker(spark):
+    """Each further Python function of a stage is a further worker per core; more blocks give the same texts."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}w{j}" for j in range(n))) for i, n in enumerate([3, 10, 14, 30])]
+    parts = [t for _, t in items] + ["i2w0 i2w1 i2w2 i2w3", "i3w5 " * 2, *(f"x{i} y{i}" for i in range(9))]
+    docs = spark.createDataFrame([(i, " . ".join(rng.choices(parts, k=rng.randint(1, 6))), str(i)) for i in range(80)] + [(80, None, "n"), (81, "", None)], "doc_id long, text string, source string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one, more = decontam.decontaminate(docs, bench), decontam.decontaminate(docs, bench, block_words=15)
+    assert plan_of(one.select("doc_id")).split("== Physical")[-1].count("MapInArrow") == 1
+    got = sorted(map(tuple, one.collect()), key=key)
+    assert got == sorted(map(tuple, more.collect()), key=key) and 2 < len(got) < 80
+
+
 def test_rest_of_a_cut_item_is_no_item(spark):
     items = [(1, " ".join(f"w{i}" for i in range(43)))]
     rows = [(1, "x w40 w41 w42 y"), (2, " ".join(f"w{i}" for i in range(33, 43))), (3, " ".join(f"w{i}" for i in range(35, 43)))]

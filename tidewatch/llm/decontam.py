@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm.common import by_slices, free_name
@@ -187,6 +187,12 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, window: in
     return [pieces.filter(F.pmod(F.xxhash64("item", "words"), F.lit(n)) == b) for b in range(n)]
 
 
+def _sent(spark: SparkSession, block: DataFrame, window: int):
+    """The automaton of a block as a broadcast."""
+    items = [(r.item, [w.encode() for w in r.words]) for r in block.toLocalIterator()]
+    return spark.sparkContext.broadcast(ItemAutomaton(items, window))
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
     """(row columns doc_id and text, n_words, spans, items) for every document.
 
@@ -205,8 +211,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
                         F.array().cast("array<struct<start:int,end:int>>").alias("spans"), F.array().cast("array<string>").alias("items"))
     parts = []
     for block in item_blocks(benchmark, block_words, window):
-        items = [(r.item, [w.encode() for w in r.words]) for r in block.toLocalIterator()]
-        auto = spark.sparkContext.broadcast(ItemAutomaton(items, window))
+        auto = _sent(spark, block, window)
         parts.append(base.mapInArrow(_scanner(auto, ["doc_id", "text"]), f"doc_id {base.schema['doc_id'].dataType.simpleString()}, text string, {_OUT}"))
     if not parts:
         return empty
@@ -253,18 +258,40 @@ def _cut(texts: list[str | None], spans: list) -> list[str | None]:
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5) -> DataFrame:
+def _cleaner(auto, names: list[str], min_span: int, max_coverage: float):
+    def clean(batch: pa.RecordBatch) -> pa.RecordBatch:
+        automaton: ItemAutomaton = auto.value
+        texts, kept, cuts = batch.column("text").to_pylist(), [], []
+        for i, text in enumerate(texts):
+            words = words_of(text)
+            hits, _ = automaton.scan(words)
+            if sum(b - a for a, b in hits) <= max_coverage * len(words):  # 0 <= 0 without words
+                kept.append(i)
+                cuts.append([{"start": a, "end": b} for a, b in hits if b - a >= min_span])
+        rows = batch.take(pa.array(kept, pa.int64()))
+        text = pa.array(_cut([texts[i] for i in kept], cuts), pa.string())
+        return pa.RecordBatch.from_arrays([text if c == "text" else rows.column(c) for c in names], names=names)
+
+    return by_slices(clean)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, min_span: int = WINDOW, max_coverage: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents without benchmark passages; columns of ``docs``.
 
     Spans of at least ``min_span`` words are cut out of the text. A document of
     whose words more than ``max_coverage`` lie in hits of any length is removed
     whole. Shorter spans (whole short items) stay in other documents. Nulls and
-    empty texts stay."""
+    empty texts stay. With one block of items a text is scanned and cut in one
+    Python worker; with more, the spans of all blocks have to meet first."""
+    blocks = item_blocks(benchmark, block_words)
+    if len(blocks) == 1:
+        names, types = docs.columns, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+        return docs.mapInArrow(_cleaner(_sent(docs.sparkSession, blocks[0], WINDOW), names, min_span, max_coverage), types)
     names, hits = docs.columns, free_name(docs, "spans")
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
     packed = docs.select(F.struct("doc_id", *others).alias("doc_id"), "text")
-    found = contamination(packed, benchmark)
+    found = contamination(packed, benchmark, block_words=block_words)
     covered = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + (s["end"] - s["start"]))
     kept = found.filter((F.col("n_words") == 0) | (covered <= max_coverage * F.col("n_words")))
     kept = kept.withColumn("spans", F.filter("spans", lambda s: s["end"] - s["start"] >= min_span))
