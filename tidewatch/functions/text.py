@@ -29,6 +29,12 @@ CREDENTIAL_PATTERNS = [
     (r"\beyJ[a-zA-Z0-9_\-]{10,}\.eyJ[a-zA-Z0-9_\-]{10,}\.[a-zA-Z0-9_\-]{10,}\b", REDACTED),
     (VENDOR_TOKEN, REDACTED),
 ]
+# What a match of the patterns above must hold: lower-cased, and as written.
+CREDENTIAL_MARKS = [
+    "private key-----", "aws_secret", "aws_access_key", "password", "passwd", "pwd", "api_key", "apikey", "secret", "token",
+    "ghp_", "gho_", "github_pat_", "gsk_", "bearer", "sess_", "session_",
+]
+CREDENTIAL_MARKS_CASED = ["AKIA", "eyJ"]
 # Patterns scrubbed from comments.
 COMMENT_PATTERNS = [
     (r"(ghp_[A-Za-z0-9_]{20,}|github_pat_[A-Za-z0-9_]{20,}|Bearer\s+[A-Za-z0-9\-_.]+)", REDACTED_CREDENTIAL),
@@ -62,8 +68,15 @@ def _replace_all(c: Column, rules: Sequence[tuple[str, str]]) -> Column:
 
 
 def scrub_credentials(c: str | Column) -> Column:
-    """TXT-02: the full credential pass."""
-    return _replace_all(F.coalesce(col(c), F.lit("")), CREDENTIAL_PATTERNS)
+    """TXT-02: the full credential pass. The patterns try many ways at every
+    character, so a text is first searched for the words they need; without any
+    of them it stays as it is. The one-element array keeps the text in one place."""
+    def scrub(x: Column) -> Column:
+        marked = F.exists(F.transform(F.array(F.lower(x)), lambda low: F.exists(F.array(*map(F.lit, CREDENTIAL_MARKS)), lambda m: F.contains(low, m))), lambda hit: hit)
+        cased = F.exists(F.array(*map(F.lit, CREDENTIAL_MARKS_CASED)), lambda m: F.contains(x, m))
+        return F.when(marked | cased, _replace_all(x, CREDENTIAL_PATTERNS)).otherwise(x)
+
+    return F.get(F.transform(F.array(F.coalesce(col(c), F.lit(""))), scrub), 0)
 
 
 def scrub_vendor_tokens(c: str | Column) -> Column:

@@ -38,8 +38,8 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
 
 
 def finish(content: Column) -> Column:
-    """Scrubbed and bounded content."""
-    return T.ellipsis_trimmed(T.scrub_credentials(content), MAX_CONTENT)
+    """Scrubbed and bounded content; the bound reads the text three times, so it is bound to a name."""
+    return F.get(F.transform(F.array(T.scrub_credentials(content)), lambda x: T.ellipsis_trimmed(x, MAX_CONTENT)), 0)
 
 
 def kev_associations(kev: DataFrame, position: str = "pos") -> DataFrame:
