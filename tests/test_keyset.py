@@ -100,3 +100,13 @@ def test_plan_is_a_top_k_with_a_pushed_bound(spark, table, tmp_path):
     plan = plan_of(K.page(df, "vulnerabilities", "date-desc", IDS, 5, cursor))
     assert "TakeOrderedAndProject" in plan and "Exchange" not in plan
     assert "LessThanOrEqual(analysis_created_at" in plan
+
+
+def test_pages_of_a_joined_view_join_once(spark):
+    from conftest import SF
+    from tidewatch.plans import load_all
+    from tidewatch.plans.registry import QUERIES
+
+    load_all()
+    plan = plan_of(QUERIES["pages_vulnerabilities"](spark, SF)).split("== Physical")[-1]
+    assert "Join" not in plan and plan.count("Scan parquet") >= 14  # each page reads what was written once

@@ -30,6 +30,13 @@ def pages(df, view, ids):
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def once_written(df, name):
+    """Joined or grouped once, then sorted in many ways: every page reads the table again."""
+    at = shared_dir(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def pages_sql(rows, ids, modes):
     """Both pages of each mode by the row numbers of a full sort."""
     cut = "SELECT '{m}' AS mode, CAST(ceil(rn / {n}.0) AS INT) AS page, {i} FROM (SELECT {i}, row_number() OVER (ORDER BY {o}, {i}) AS rn FROM x) WHERE rn <= {t}"
@@ -51,7 +58,8 @@ FINDING = ["analysis_id", "finding_id", "seen_at"]
 def _(spark, d):
     a = B.analyses(spark, d).select("analysis_id", F.col("created_at").alias("analysis_created_at"))
     score = F.when(F.col("line_no") % 3 > 0, F.col("supp_id") / 100.0)
-    return pages(B.findings(spark, d).join(a, "analysis_id").withColumn("confidence", score), "vulnerabilities", FINDING)
+    rows = B.findings(spark, d).join(a, "analysis_id").select(*FINDING, "severity", "title", "analysis_created_at", score.alias("confidence"))
+    return pages(once_written(rows, "vulnerabilities"), "vulnerabilities", FINDING)
 
 
 @query(
@@ -69,10 +77,7 @@ def _(spark, d):
     people = rows.withColumn("developer", P.clean_author()).filter("developer IS NOT NULL").groupBy("developer").agg(
         F.sum("finding_count").alias("total_findings"), F.sum("critical_count").alias("critical_count"), F.sum("high_count").alias("high_count"),
         F.max("created_at").alias("last_activity"))
-    # grouped once, then sorted ten ways
-    at = shared_dir(spark, "developers")
-    people.write.parquet(at)
-    return pages(spark.read.parquet(at), "developers", ["developer"])
+    return pages(once_written(people, "developers"), "developers", ["developer"])
 
 
 @query(
