@@ -51,8 +51,8 @@ gated AS (SELECT *, CASE WHEN critical_count > 0 OR high_count > 0 THEN 'block'
 POS_NORM = ["line_no", "part_id", "supp_id", "seen_at", "severity", "confidence", "document_id", "signal_name", "file_path"]
 
 
-def normalized(spark, d):
-    f = B.findings(spark, d)
+def normalized(spark, d, view=B.findings):
+    f = view(spark, d)
     eid = F.when(F.col("signal_type").isin("weak_cryptography", "path_traversal_call"), "").otherwise(F.col("document_id"))
     f = f.withColumns({"evidence_id": eid, "line_start": F.col("line"), "line_end": F.col("line")})
     return X.normalize_findings(f)
@@ -62,8 +62,12 @@ def normalized(spark, d):
 FIELDS = ["title", "category", "document_id"]
 
 
+# a document is one part under one flag, and evidence ids here are document ids
+BY_DOCUMENT = ["part_id"]
+
+
 def merged(spark, d, fields=FIELDS):
-    return X.merge_findings(normalized(spark, d), ["analysis_id"], POS_NORM, fields)
+    return X.merge_findings(normalized(spark, d, B.findings_by_part), ["analysis_id"], POS_NORM, fields, BY_DOCUMENT)
 
 
 def reports(spark, d, fields=FIELDS):
@@ -87,7 +91,7 @@ def _(spark, d):
     ("findings",),
 )
 def _(spark, d):
-    m = X.with_evidence_count(merged(spark, d), normalized(spark, d), ["analysis_id"])
+    m = X.with_evidence_count(merged(spark, d), normalized(spark, d, B.findings_by_part), ["analysis_id"], BY_DOCUMENT)
     return m.select("analysis_id", "title", "category", "document_id", "severity", "confidence", "evidence_count", "merged_rows")
 
 

@@ -27,6 +27,12 @@ def get_spark(app: str = "tidewatch", master: str | None = None, **conf: str) ->
     return builder.getOrCreate()
 
 
+def default(spark: SparkSession, key: str, value: str) -> None:
+    """Set ``key`` on a running session that has no value of its own for it."""
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, value)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in
     ``spark.checkpoint.dir``. Where that is unset, a master with one
