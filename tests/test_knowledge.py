@@ -1,5 +1,8 @@
 """Incremental ingest: only changed documents are cut, only unknown texts are embedded."""
 
+import os
+import random
+
 from pyspark.sql import functions as F
 
 from tidewatch.functions.embedding import embed
@@ -66,3 +69,24 @@ def test_defaults_of_documents(rows):
     got = {r["document_id"]: r["metadata"] for r in load_documents(docs).collect()}
     assert got == {"a": {"source_type": "own", "document_type": "security_knowledge", "n": ""},
                    "b": {"source_type": "knowledge_base", "document_type": "security_knowledge"}}
+
+
+def written(folder):
+    return sum(os.path.getsize(os.path.join(p, f)) for p, _, names in os.walk(folder) for f in names)
+
+
+def test_ingest_writes_less_than_the_texts(spark, rows):
+    rand, root = random.Random(5), shared_dir(spark, "knowledge-size")
+    words = ["".join(rand.choices("abcdefghijklmnopqrstuvwxyz", k=rand.randint(2, 9))) for _ in range(400)]
+    texts = {str(i): " ".join(rand.choices(words, k=3000)) for i in range(120)}
+    shared, store = spark.conf.get("spark.checkpoint.dir"), KnowledgeStore(spark, root, embed, 1000, 100, 4)
+    before = written(shared)
+    store.ingest(rows([(d, t, {"k": "v"}, 1, "") for d, t in texts.items()], SCHEMA))
+    texts = {d: t if int(d) % 3 else t[:900] + " changed" for d, t in texts.items()}
+    did = store.ingest(rows([(d, t, {"k": "v"}, 1, "") for d, t in texts.items()] * 2, SCHEMA))
+    assert (did.changed, did.unchanged, did.embedded) == (40, 80, 40)
+    # both versions of the store, compressed, and nothing besides
+    assert written(shared) - before < 1.3 * sum(map(len, texts.values())) and not [d for d in os.listdir(f"{root}/work")]
+    want = sorted((d, f"{d}_chunk_{i + 1}", c) for d, t in texts.items() for i, c in enumerate(plain(t, 1000, 100)))
+    assert stored(store) == want and store.chunks().filter("embedding IS NULL OR metadata IS NULL OR content_hash IS NULL").isEmpty()
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None

@@ -3,8 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conftest import plan_of
 from tidewatch.session import shared_dir
 from tidewatch.sinks import linked as L
+from tidewatch.sinks.positions import choose, located
 
 LINKS = {"analyses": ["analysis_id"], "findings": ["analysis_id"], "suppressions": ["analysis_id"]}
 
@@ -106,3 +108,36 @@ def test_lookups_read_one_bucket(spark, rows):
 def test_retention_cutoff(spark):
     r = spark.range(1).select(L.retention_cutoff("2024-03-31 00:00:00", 30).alias("a"), L.retention_cutoff("2024-03-31 00:00:00", -5).alias("b")).first()
     assert str(r["a"]) == "2024-03-01 00:00:00" and str(r["b"]) == "2024-03-30 00:00:00"
+
+
+def test_rows_are_chosen_by_position(spark, tmp_path):
+    spark.range(100_000).selectExpr("id", "id % 7 AS k").repartition(3, "k").write.parquet(f"{tmp_path}/rows")  # blocks of 32,768 and files of several
+    at = located(spark.read.parquet(f"{tmp_path}/rows"))
+    for i, (cond, keep) in enumerate([("id % 3 = 0", True), ("id % 3 = 0", False), ("id < 0", True), ("id < 0", False), ("true", True)]):
+        got = choose(at, at.filter(cond).select("_file", "_row"), f"{tmp_path}/bits{i}", keep)
+        want = spark.range(100_000).filter(cond if keep else f"NOT ({cond})")
+        assert got.columns == ["id", "k"] and got.select("id").exceptAll(want).isEmpty() and got.count() == want.count()
+    none = located(spark.read.parquet(f"{tmp_path}/rows")).filter("k = 8")
+    assert choose(none, none.select("_file", "_row"), f"{tmp_path}/none", False).count() == 0
+
+
+def test_stored_rows_are_copied_without_a_shuffle(spark, rows):
+    t = tables(spark, rows)
+    kept = t._without(t.snapshot(), range(4), rows([(3,), (7,), (None,)], "analysis_id long"), ["findings"], "data/copy")["findings"]
+    assert sorted(map(tuple, kept.collect())) == [(i, f"f{j}") for i in range(12) for j in range(i % 4) if i not in (3, 7)]
+    assert "Exchange hashpartitioning" not in plan_of(kept)
+
+
+def test_rows_are_filled_where_they_are_written(spark, rows):
+    keys = rows([(5, "new", 1), (50, "new", 2)], "analysis_id long, status string, at int")
+    more = rows([(50, "h", None), (50, "g", 7), (5, "f", 8)], "analysis_id long, finding string, n int")
+    u = L.LinkedTables(spark, shared_dir(spark, "linked-test"), LINKS, 4)
+    u.save({"findings": (more, ["analysis_id", "finding"])}, analyses=keys, findings=rows([(50, "g", "x"), (50, "h", None), (5, "f", "y")], "analysis_id long, finding string, note string"))
+    assert {tuple(r) for r in u.read("findings").select("analysis_id", "finding", "note", "n").collect()} == {(50, "g", "x", 7), (50, "h", None, None), (5, "f", "y", 8)}
+
+
+def test_many_small_changes_do_not_pile_up_files(spark, rows):
+    t = L.LinkedTables(spark, shared_dir(spark, "linked-test"), {"a": ["id"]}, 1)
+    for i in range(30):
+        t.save(a=rows([(i, "x")], "id long, v string"))
+    assert len(t.read("a").inputFiles()) <= 2 * (L.MANY_CHANGES + 8) and {r[0] for r in t.read("a").collect()} == set(range(30))

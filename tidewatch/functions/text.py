@@ -180,7 +180,10 @@ def tokens(c: str | Column) -> Column:
     # ASCII runs lie inside words, and a plain word is its own run: only the other
     # words need a second look
     mixed = F.array_join(F.filter(words, lambda w: w.rlike("[^a-zA-Z0-9]")), " ")
-    return F.array_union(words, F.regexp_extract_all(mixed, F.lit("[a-zA-Z0-9]+"), F.lit(0)))
+    both = F.array_union(words, F.regexp_extract_all(mixed, F.lit("[a-zA-Z0-9]+"), F.lit(0)))
+    # a text of ASCII letters without underscores has plain words only, which a simpler search finds
+    plain = (F.octet_length(x) == F.length(x)) & ~F.contains(x, F.lit("_"))
+    return F.when(plain, F.array_distinct(F.regexp_extract_all(x, F.lit("[a-z0-9]+"), F.lit(0)))).otherwise(both)
 
 
 def content_fingerprint(c: str | Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -33,6 +35,19 @@ def default(spark: SparkSession, key: str, value: str) -> None:
         spark.conf.set(key, value)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Set ``key`` for a while, where the session has no value of its own for it."""
+    own = spark.conf.get(key, None) is not None
+    if not own:
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(key)
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below the shared folder the cluster names in
     ``spark.checkpoint.dir``. Where that is unset, a master with one

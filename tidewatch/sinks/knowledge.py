@@ -9,6 +9,7 @@ are gone with the old version and only the buckets of changed documents are writ
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,9 @@ from pyspark.sql import functions as F
 
 from tidewatch.functions import text as T
 from tidewatch.operators.ranking import top_n
+from tidewatch.session import setting
 from tidewatch.sinks.linked import LinkedTables
+from tidewatch.sinks.positions import FILE, ROW, choose, located
 from tidewatch.sinks.tables import clean_metadata
 
 # The type of every knowledge document and the source of those that name none.
@@ -79,31 +82,61 @@ class KnowledgeStore:
         """Take in (document_id, content, metadata). Of several rows of an id the first
         by ``newest`` counts, then the smallest hash; ``newest`` may use any column.
         A document without content is kept without chunks. Running it again changes
-        nothing and embeds nothing; an empty table changes nothing."""
-        keyed = load_documents(docs.withColumn("_order", F.struct(F.lit(0), *newest)), "_order").withColumn("document_hash", self._hash())
-        rows = top_n(keyed, ["document_id"], [F.col("_order"), F.col("document_hash")], 1).drop("_order").checkpoint()
+        nothing and embeds nothing; an empty table changes nothing.
+
+        Texts are written beside the store as they come, in compressed files; joins
+        and groups see ids, hashes and positions, and texts are picked by position.
+        Only the chunks of changed documents are shuffled, once, into their buckets."""
+        work = f"{self.tables.root}/work/{uuid.uuid4().hex}"
+        try:
+            # each step's shuffle files go with it
+            with setting(self.tables.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+                return self._ingest(docs, newest, work)
+        finally:
+            self.tables.remove(work)
+
+    def _ingest(self, docs: DataFrame, newest: Sequence[Column], work: str) -> Ingested:
+        spark, at = self.tables.spark, F.struct(FILE, ROW)
+
+        def staged(name: str, rows: DataFrame) -> DataFrame:
+            rows.write.option("compression", "zstd").parquet(f"{work}/{name}")
+            return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
+
+        def picked(rows: DataFrame, chosen: DataFrame, name: str) -> DataFrame:
+            return choose(located(rows), chosen, f"{work}/{name}_bits")
+
+        order = F.struct(F.lit(0).alias("_0"), *[c.alias(f"_{i}") for i, c in enumerate(newest, 1)])
+        rows = staged("rows", load_documents(docs.withColumn("_order", order), "_order").withColumn("document_hash", self._hash()))
+        # the positions break ties of rows that are equal throughout
+        first = top_n(located(rows).select("document_id", "document_hash", "_order", FILE, ROW), ["document_id"], [F.col("_order"), F.col("document_hash"), F.col(FILE), F.col(ROW)], 1)
+        first = staged("first", first.drop("_order"))
         known = self.documents()
-        changed = rows if known is None else rows.join(known.select("document_id", "document_hash"), ["document_id", "document_hash"], "left_anti")
-        total, fresh = rows.count(), changed.count()
+        changed = first if known is None else staged("changed", first.join(known.select("document_id", "document_hash"), ["document_id", "document_hash"], "left_anti"))
+        total, fresh = first.count(), changed.count()
         if not fresh:
             return Ingested(0, total, 0, 0, 0)
-        cut = T.chunks(changed.withColumnRenamed("document_id", "_parent"), "_parent", "content", self.size, self.overlap)
+        cut = T.chunks(picked(rows, changed, "rows").withColumnRenamed("document_id", "_parent"), "_parent", "content", self.size, self.overlap)
         extra = F.create_map(F.lit("parent_document_id"), F.col("_parent"), F.lit("chunk_index"), F.col("chunk_index").cast("string"))
         own = F.map_filter("metadata", lambda k, v: ~k.isin("parent_document_id", "chunk_index"))
-        cut = cut.select(
+        cut = staged("cut", cut.select(
             F.col("_parent").alias("document_id"), F.col("document_id").alias("chunk_id"), "chunk_index", "content",
-            F.sha2("content", 256).alias("content_hash"), F.map_concat(own, extra).alias("metadata")).checkpoint()
-        texts = cut.groupBy("content_hash").agg(F.min("content").alias("content"))
-        stored = self.chunks()
-        vectors = texts.select("content_hash", self.embed("content").alias("embedding"), F.lit(False).alias("_stored"))
-        if stored is not None:
-            hits = stored.select("content_hash", "embedding").join(texts.select("content_hash"), "content_hash", "left_semi")
-            hits = hits.groupBy("content_hash").agg(F.first("embedding").alias("embedding")).withColumn("_stored", F.lit(True)).checkpoint()
+            F.sha2("content", 256).alias("content_hash"), F.map_concat(own, extra).alias("metadata")))
+        self.tables.remove(f"{work}/rows")
+        texts = staged("texts", located(cut).groupBy("content_hash").agg(F.min(at).alias("_at")).select("content_hash", "_at.*"))
+        stored, parts = self.chunks(), []
+        misses = texts
+        if stored is not None and stored.inputFiles():
+            hits = located(stored).select("content_hash", FILE, ROW).join(texts.select("content_hash"), "content_hash", "left_semi")
+            hits = staged("hits", hits.groupBy("content_hash").agg(F.min(at).alias("_at")).select("content_hash", "_at.*"))
+            parts.append(picked(stored, hits, "hits").select("content_hash", "embedding"))
             misses = texts.join(hits.select("content_hash"), "content_hash", "left_anti")
-            vectors = hits.unionByName(misses.select("content_hash", self.embed("content").alias("embedding"), F.lit(False).alias("_stored")))
-        vectors = vectors.checkpoint()
-        n = vectors.groupBy("_stored").count().collect()  # two rows at most
-        by = {r["_stored"]: r["count"] for r in n}
-        self.tables.save(documents=changed.select("document_id", "document_hash"), chunks=cut.join(vectors.drop("_stored"), "content_hash").select(
-            "document_id", "chunk_id", "chunk_index", "content", "content_hash", "metadata", "embedding"))
-        return Ingested(fresh, total - fresh, cut.count(), by.get(False, 0), by.get(True, 0))
+        new = staged("vectors", picked(cut, misses, "misses").select("content_hash", self.embed("content").alias("embedding")))
+        vectors = new
+        for part in parts:
+            vectors = vectors.unionByName(part)
+        embedded, distinct = new.count(), texts.count()
+        ends = staged("ends", cut.select("document_id", "chunk_id", "content_hash").join(vectors, "content_hash").select("document_id", "chunk_id", "embedding"))
+        for name in ("texts", "vectors"):
+            self.tables.remove(f"{work}/{name}")
+        self.tables.save({"chunks": (ends, ["document_id", "chunk_id"])}, documents=changed.select("document_id", "document_hash"), chunks=cut)
+        return Ingested(fresh, total - fresh, cut.count(), embedded, distinct - embedded)

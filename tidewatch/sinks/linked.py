@@ -5,7 +5,8 @@ touched buckets of every table into a new folder beside the old ones and then
 creates one small numbered pointer file that names each bucket's folder. Readers
 take the highest number, so they see the whole change or nothing of it; a change
 that breaks off leaves folders that no pointer names. The folders hold plain
-Parquet."""
+Parquet. Stored rows that stay in a touched bucket are copied from scan to file:
+only keys and one bit per row are shuffled for them."""
 
 from __future__ import annotations
 
@@ -17,7 +18,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewatch.sinks.positions import FILE, ROW, choose, located
+
 BUCKET = "_bucket"
+PART = "_part"  # a share of a bucket: one task writes one share or several
+# Fixed value: changes after which the files they added to a bucket are put together again.
+MANY_CHANGES = 8
 
 
 class ConcurrentChange(RuntimeError):
@@ -120,69 +126,103 @@ class LinkedTables:
 
     # --- changes
 
+    def remove(self, folder: str) -> None:
+        """Delete a folder of intermediate rows of a writer."""
+        self._fs.delete(self._path(folder), True)
+
     def _in_bucket(self, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int"))
 
-    def _rebuild(self, old: Snapshot, touched: Sequence[int], contents: Mapping[str, DataFrame]) -> Snapshot:
+    def _clustered(self, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
+        """Rows by bucket, each in so many shares that the writing tasks are about as
+        many as those of a shuffle; and the number of shares. Small shares meet in a task."""
+        shares = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        part = F.pmod(F.floor(F.xxhash64(*self.links[name]) / self.buckets), F.lit(shares)).cast("int")
+        return rows.withColumn(PART, part).repartition(BUCKET, PART), shares
+
+    def _write(self, name: str, rows: DataFrame, place: str) -> None:
+        writer = rows.sortWithinPartitions(BUCKET, *self.links[name]).write.mode("append").partitionBy(BUCKET).option("compression", "zstd")
+        for c in self.blooms.get(name, ()):
+            writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+        writer.parquet(f"{self.root}/{place}")
+
+    def _rebuild(self, old: Snapshot, touched: Sequence[int], folder: str, kept: Mapping[str, DataFrame], new: Mapping[str, DataFrame],
+                 filled: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None) -> Snapshot:
         """Write the touched buckets of all tables beside, then switch once."""
         tables = {name: dict(entry) for name, entry in old.tables.items()}
-        folder = f"data/{uuid.uuid4().hex}"
-        for name, rows in contents.items():
-            rows = self._in_bucket(rows, self.links[name])
-            writer = rows.repartition(BUCKET).sortWithinPartitions(BUCKET, *self.links[name]).write.partitionBy(BUCKET)
-            for c in self.blooms.get(name, ()):
-                writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
-            place = f"{folder}/{name}"
-            writer.parquet(f"{self.root}/{place}")
+        for name in [n for n in self.links if n in kept or n in new]:
+            place, parts = f"{folder}/{name}", []
+            if name in kept:
+                rows = self._in_bucket(kept[name], self.links[name])
+                together, shares = self._clustered(rows, name)
+                few = len(kept[name].inputFiles()) <= (shares + MANY_CHANGES) * len(touched)
+                parts.append(rows if few else together.drop(PART))
+            if name in new:
+                more, keys = (filled or {}).get(name, (None, ()))
+                rows = new[name] if more is None else new[name].unionByName(more, allowMissingColumns=True)
+                rows = self._clustered(self._in_bucket(rows, self.links[name]), name)[0]
+                if more is not None:
+                    rest = [c for c in rows.columns if c not in (BUCKET, PART, *keys)]
+                    rows = rows.groupBy(BUCKET, PART, *keys).agg(*[F.first(c, ignorenulls=True).alias(c) for c in rest])
+                parts.append(rows.drop(PART))
+            fields = (parts[0].unionByName(parts[1]) if parts[1:] else parts[0]).schema
+            for rows in parts:
+                self._write(name, rows.select(*[F.col(f.name).cast(f.dataType) for f in fields]), place)
             made = {s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/{place}"))}
             folders = {b: p for b, p in tables.get(name, {}).get("folders", {}).items() if int(b) not in touched}
             folders |= {str(b): f"{place}/{BUCKET}={b}" for b in touched if f"{BUCKET}={b}" in made}
-            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != BUCKET)
+            schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields if f.name != BUCKET)
             tables[name] = {"buckets": self.buckets, "schema": schema, "folders": folders}
+        self._fs.delete(self._path(f"{self.root}/{folder}/bits"), True)
         return self._publish(old, tables)
 
     def _touched(self, keys: DataFrame, columns: Sequence[str]) -> list[int]:
         return [r[0] for r in self._in_bucket(keys.select(*columns), columns).select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
 
-    def _without(self, old: Snapshot, touched: Sequence[int], keys: DataFrame, names: Sequence[str]) -> dict[str, DataFrame]:
+    def _without(self, old: Snapshot, touched: Sequence[int], keys: DataFrame, names: Sequence[str], folder: str) -> dict[str, DataFrame]:
         """The touched buckets of the tables without rows of the given parent keys.
-        Null keys equal each other, as in the bucket hash."""
+        Null keys equal each other, as in the bucket hash. Keys and positions are
+        joined; the rows themselves are then dropped by position."""
         kept = {}
         own = [f"_k{i}" for i in range(len(keys.columns))]
         gone = keys.toDF(*own).distinct()
         for name in names:
             rows = self._load(name, old, touched)
-            if rows is not None:
+            if rows is not None and rows.inputFiles():
                 same = [F.col(c).eqNullSafe(F.col(k)) for c, k in zip(self.links[name], own)]
                 on = same[0]
                 for s in same[1:]:
                     on = on & s
-                kept[name] = rows.join(gone, on, "left_anti")
+                at = located(rows).select(*self.links[name], FILE, ROW).join(gone, on, "left_semi")
+                kept[name] = choose(located(rows), at, f"{self.root}/{folder}/bits/{name}", keep=False)
         return kept
 
-    def save(self, **tables: DataFrame) -> Snapshot:
+    def save(self, filled: Mapping[str, tuple[DataFrame, Sequence[str]]] | None = None, **tables: DataFrame) -> Snapshot:
         """SNK-01: replace whole parents. Stored rows whose parent key stands in
         the new parent rows go from every table, also where no new child comes
-        for them; then the new rows come in. Running it again changes nothing."""
-        old, columns = self.snapshot(), self.links[self.parent]
+        for them; then the new rows come in. Running it again changes nothing.
+
+        ``filled``: table -> (rows with further columns, unique key of the new rows,
+        which holds the parent's): they meet the new rows of their key where these
+        are written, so that the new rows are shuffled once."""
+        old, columns, folder = self.snapshot(), self.links[self.parent], f"data/{uuid.uuid4().hex}"
         keys = tables[self.parent].select(*columns)
         touched = self._touched(keys, columns)
         for name, rows in tables.items():
             if name != self.parent:
                 touched = sorted({*touched, *self._touched(rows, self.links[name])})
-        contents = self._without(old, touched, keys, list(self.links))
-        for name, rows in tables.items():
-            contents[name] = contents[name].unionByName(rows) if name in contents else rows
-        return self._rebuild(old, touched, contents)
+        return self._rebuild(old, touched, folder, self._without(old, touched, keys, list(self.links), folder), tables, filled)
 
     def delete(self, keys: DataFrame, cascade: Sequence[str] | None = None) -> Snapshot:
         """SNK-15: drop parents by key, and with them the rows of the ``cascade``
         tables (all children by default). The other tables stay as they are."""
-        old, columns = self.snapshot(), self.links[self.parent]
+        old, columns, folder = self.snapshot(), self.links[self.parent], f"data/{uuid.uuid4().hex}"
         names = [self.parent, *([n for n in self.links if n != self.parent] if cascade is None else cascade)]
         keys = keys.select(*columns)
         touched = self._touched(keys, columns)
-        return self._rebuild(old, touched, self._without(old, touched, keys, names)) if touched and old.number else old
+        if not touched or not old.number:
+            return old
+        return self._rebuild(old, touched, folder, self._without(old, touched, keys, names, folder), {})
 
     def cleanup(self, due: Column, order: Sequence[Column], limit: int | None, cascade: Sequence[str] | None = None) -> int:
         """SNK-16: delete at most ``limit`` parents that are due, the first by
