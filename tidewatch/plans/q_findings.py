@@ -256,8 +256,7 @@ d1all AS (SELECT * FROM act QUALIFY row_number() OVER (PARTITION BY repository,
 
 
 def fingerprinted(spark, d):
-    a = B.analyses(spark, d).select("analysis_id", F.coalesce("repository", F.lit("default")).alias("repository"))
-    return S.with_fingerprints(B.findings(spark, d).join(a, "analysis_id"))
+    return S.with_fingerprints(B.findings_of_analyses(spark, d))
 
 
 def records(fp):
