@@ -141,3 +141,10 @@ def test_many_small_changes_do_not_pile_up_files(spark, rows):
     for i in range(30):
         t.save(a=rows([(i, "x")], "id long, v string"))
     assert len(t.read("a").inputFiles()) <= 2 * (L.MANY_CHANGES + 8) and {r[0] for r in t.read("a").collect()} == set(range(30))
+
+
+def test_a_bucket_is_written_in_shares(spark, rows):
+    t = L.LinkedTables(spark, shared_dir(spark, "linked-test"), {"a": ["id"]}, 1)
+    many, shares = t._clustered(t._in_bucket(spark.range(4000), ["id"]), "a")
+    sizes = [r["count"] for r in many.groupBy("_bucket", "_part").count().collect()]
+    assert shares == len(sizes) == 16 and max(sizes) < 400

@@ -134,10 +134,10 @@ class LinkedTables:
         return rows.withColumn(BUCKET, F.pmod(F.xxhash64(*columns), F.lit(self.buckets)).cast("int"))
 
     def _clustered(self, rows: DataFrame, name: str) -> tuple[DataFrame, int]:
-        """Rows by bucket, each in so many shares that the writing tasks are about as
-        many as those of a shuffle; and the number of shares. Small shares meet in a task."""
-        shares = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
-        part = F.pmod(F.floor(F.xxhash64(*self.links[name]) / self.buckets), F.lit(shares)).cast("int")
+        """Rows by bucket, each in so many shares that a shuffle's tasks get some of
+        them each; and the number of shares. Small shares meet in a task."""
+        shares = max(1, 2 * int(self.spark.conf.get("spark.sql.shuffle.partitions")) // self.buckets)
+        part = F.pmod(F.xxhash64(F.lit(PART), *self.links[name]), F.lit(shares)).cast("int")  # not the hash of the bucket
         return rows.withColumn(PART, part).repartition(BUCKET, PART), shares
 
     def _write(self, name: str, rows: DataFrame, place: str) -> None:
